@@ -110,7 +110,7 @@ PARTS: dict[str, tuple[str, str]] = {
         UNION SELECT d, 'tags', alias FROM own JOIN aliases USING (token)"""),
     "post": ("fields", "SELECT d, token, sum(CASE field "
              + " ".join(f"WHEN '{n}' THEN {w}" for n, w in FIELD_WEIGHTS.items())
-             + " END) AS w FROM fields GROUP BY d, token"),
+             + " END)::DOUBLE AS w FROM fields GROUP BY d, token"),
     "lens": ("fields descs", """
         SELECT d, copies, count(*) AS doc_len FROM fields JOIN descs USING (d) GROUP BY d, copies"""),
     "stats": ("lens", """
@@ -120,7 +120,7 @@ PARTS: dict[str, tuple[str, str]] = {
              "UNION SELECT d, cat, text, alias FROM text_tokens JOIN aliases USING (token)) "
              "SELECT d, token, sum(CASE cat "
              + " ".join(f"WHEN '{n}' THEN {w}" for n, w in SPARSE_WEIGHTS.items())
-             + " END) AS weight FROM full_set GROUP BY d, token"),
+             + " END)::DOUBLE AS weight FROM full_set GROUP BY d, token"),
     "norms": ("vecs", "SELECT d, sqrt(sum(weight * weight)) AS norm FROM vecs GROUP BY d"),
     "queries": ("", """
         SELECT * FROM (VALUES (1, 1, 'small widget', 'O', 0, 64, -70), (2, 2, 'red bolt', 'F', -60, 64, -100),

@@ -130,8 +130,8 @@ def p03(t):
 
 @query("p04_access_gate", sql("containers denied", """
     SELECT player_id, count(*) AS visible, CAST(sum(container_id) AS BIGINT) AS id_sum
-    FROM containers, (SELECT unnest(range(10)) AS player_id) ANTI JOIN denied USING (player_id, container_id)
-    GROUP BY player_id"""))
+    FROM (SELECT * FROM containers, (SELECT unnest(range(10)) AS player_id))
+    ANTI JOIN denied USING (player_id, container_id) GROUP BY player_id"""))
 def p04(t):
     decisions = t.decisions()
     hits = decisions.select("player_id", "container_id").distinct()
@@ -228,7 +228,7 @@ def l01(t):
 def w01(t):
     terms = Terms.measure(query_terms(t.supplier_queries()))
     scores = S.full_text_scores(saved_index(t), terms)
-    hits = S.full_text_hits(candidates(t), scores, Policy(), t.decisions())
+    hits = S.full_text_hits(candidates(t).join(scores, ["query_id", "desc_hash"]), Policy(), t.decisions())
     return hits.select("query_id", "item_id", "ft_rank")
 
 

@@ -80,6 +80,15 @@ def sparse_scores(vectors: DataFrame, queries: DataFrame, key: str = "desc_hash"
         F.round(sparse_cosine(F.col("dot"), F.col("norm"), F.col("q_norm")), DIGITS).alias("cosine"))
 
 
+def dense_scores(pairs: DataFrame, item_vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Cosine of given (query, descriptor) pairs from their dense vectors."""
+    asked = lookup_join(pairs, queries.select("query_id", F.col("vector").alias("q_vector")), ["query_id"],
+                        spread_by=["desc_hash"])
+    both = asked.join(item_vectors.select("desc_hash", "vector"), "desc_hash")
+    return both.select("query_id", "desc_hash",
+                       F.round(dense_cosine("vector", "q_vector"), DIGITS).alias("cosine"))
+
+
 def full_text_cut(found: DataFrame, limit: int) -> DataFrame:
     """Best ``limit`` matches per query, ties in order of place and path."""
     order = [F.asc("score"), F.asc("x"), F.asc("y"), F.asc("z"), F.asc("_path"), F.asc("item_id")]
@@ -87,19 +96,19 @@ def full_text_cut(found: DataFrame, limit: int) -> DataFrame:
     return top_n(keyed, ["query_id"], order, limit, "_cut").drop("_path")
 
 
-def full_text_hits(candidates: DataFrame, scores: DataFrame, policy: Policy,
-                   decisions: DataFrame | None) -> DataFrame:
+def full_text_hits(found: DataFrame, policy: Policy, decisions: DataFrame | None) -> DataFrame:
     """Best matches in the window, cut to the limit before radius and access are applied."""
-    cut = full_text_cut(candidates.join(scores, ["query_id", "desc_hash"]), policy.full_text_limit)
+    cut = full_text_cut(found, policy.full_text_limit)
     cut = cut.filter(within(F.col("distance"), F.lit(policy.radius)))
     if decisions is not None:
         cut = allowed(cut, decisions)
     return fusion.distinct_rank(cut, [F.asc("_cut")], "ft_rank")
 
 
-def semantic_hits(candidates: DataFrame, policy: Policy, decisions: DataFrame | None) -> DataFrame:
+def semantic_hits(scored: DataFrame, policy: Policy, decisions: DataFrame | None) -> DataFrame:
     """Best cosines among accessible candidates within the radius."""
-    seen = candidates.filter(F.col("cosine") >= policy.min_score)
+    seen = scored.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    seen = seen.filter(F.col("cosine") >= policy.min_score)
     seen = seen.filter(within(F.col("distance"), F.lit(policy.radius)))
     if decisions is not None:
         seen = allowed(seen, decisions)
@@ -124,35 +133,29 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, policy: Policy = Polic
                   dense_queries: DataFrame | None = None) -> SearchResult:
     """Full-text and semantic retrieval per query, fused and rolled up to containers.
 
-    The semantic side is the sparse tag vector unless ``item_vectors``
-    (desc_hash, vector) and ``dense_queries`` (query_id, vector) are given.
+    Both retrievers score distinct descriptors and meet the items of a query's
+    window in a join on the descriptor. The semantic side is the sparse tag vector unless
+    ``item_vectors`` (desc_hash, vector) and ``dense_queries`` (query_id, vector)
+    are given.
     """
     usable = queries.filter(F.size(tokenize(F.col("query"))) > 0)
     terms = Terms.measure(query_terms(usable))
     # Every usable query has at least one term.
     candidates = window_candidates(index.items, index.cells, usable, policy, terms.count)
-
-    full_text = full_text_hits(candidates, full_text_scores(index, terms), policy, decisions)
-
+    full_text = full_text_scores(index, terms)
     if item_vectors is None:
         cosines = sparse_scores(index.vectors, usable, small=terms.small)
-        how = "inner" if policy.min_score > 0 else "left"
-        scored = candidates.join(cosines, ["query_id", "desc_hash"], how)
-        scored = scored.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     else:
         # One cosine per distinct (query, descriptor) seen in a window.
         pairs = candidates.select("query_id", "desc_hash").distinct()
-        pairs = lookup_join(pairs, dense_queries.withColumnRenamed("vector", "q_vector"), ["query_id"],
-                            spread_by=["desc_hash"]).join(item_vectors, "desc_hash")
-        cosines = pairs.select("query_id", "desc_hash",
-                               F.round(dense_cosine("vector", "q_vector"), DIGITS).alias("cosine"))
-        scored = candidates.join(cosines, ["query_id", "desc_hash"])
-    semantic = semantic_hits(scored, policy, decisions)
-
-    fused = fusion.fuse(full_text, semantic, policy)
-    ranked = fusion.rank_paths(fused)
-    roots = fusion.roll_up(fused)
-    shown = roots.filter(F.col("root_rank") <= policy.max_results)
-    items = ranked.filter(F.col("path_rank") <= policy.max_paths_per_root).join(
-        shown.select("query_id", "container_id", "root_rank"), ["query_id", "container_id"])
-    return SearchResult(items, shown, statuses(queries, fusion.totals(roots, policy)))
+        cosines = dense_scores(pairs, item_vectors, dense_queries)
+    first = full_text_hits(candidates.join(full_text, ["query_id", "desc_hash"]), policy, decisions)
+    # Without a minimum, items that share no term still count with cosine 0.
+    how = "inner" if policy.min_score > 0 else "left"
+    second = semantic_hits(candidates.join(cosines, ["query_id", "desc_hash"], how), policy, decisions)
+    ranked = fusion.rank(fusion.fuse(first, second, policy))
+    shown = F.col("root_rank") <= policy.max_results
+    return SearchResult(
+        ranked.filter(shown & (F.col("path_rank") <= policy.max_paths_per_root)),
+        fusion.roots(ranked.filter(shown)),
+        statuses(queries, fusion.totals(ranked, policy)))

@@ -14,6 +14,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+SPLIT = [0.0, 0.0]
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -41,10 +44,13 @@ def rows(columns: list[str], data) -> list[tuple]:
 
 def compare(frame, con, sql: str) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     got = rows(frame.columns, [tuple(r) for r in frame.collect()])
+    middle = time.time()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     want = rows(names, cursor.fetchall())
+    SPLIT[:] = [middle - start, time.time() - middle]
     if sorted(names) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} against {sorted(names)}"
     if len(got) != len(want):
@@ -80,7 +86,7 @@ def main(folder: str, names: list[str]) -> int:
         except Exception as failure:  # noqa: BLE001 - report and go on
             problem = f"{type(failure).__name__}: {str(failure)[:1500]}"
         bad += problem is not None
-        print(f"{name:32s} {time.time() - start:6.2f}s {'ok' if problem is None else problem}"
+        print(f"{name:32s} {time.time() - start:6.2f}s ({SPLIT[0]:.2f} + {SPLIT[1]:.2f}) {'ok' if problem is None else problem}"
               f"{'' if name in sql else ' (rows only)'}", flush=True)
     print(f"{bad} differ")
     return bad
