@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from stowfind.catalog import retrieval, text  # noqa: F401
+from stowfind.catalog import lookups, nested, retrieval, text  # noqa: F401
 from stowfind.catalog.base import ORACLE, QUERIES  # noqa: F401
