@@ -79,8 +79,8 @@ def s05(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.sum("one").alias("n"))
 
 
-def cell_updates(t: Tables):
-    return t.read("events").select(
+def cell_updates(events):
+    return events.select(
         F.when(F.col("user_id") % 2 == 0, "O").otherwise("F").alias("world_id"),
         (F.col("user_id") % 16 - 8).cast("int").alias("cell_x"), (F.col("event_id") % 16 - 8).cast("int").alias("cell_z"),
         (F.col("event_type") != "error").alias("available"), F.floor("value").alias("revision"),
@@ -95,7 +95,7 @@ def cell_updates(t: Tables):
     GROUP BY world_id, cell_x, cell_z"""))
 def s06(t):
     cells = t.cells().withColumn("revision", F.lit(0).cast("long"))
-    return M.set_cells(cells, cell_updates(t))
+    return M.set_cells(cells, cell_updates(t.read("events")))
 
 
 @query("s07_reset_cells", sql("cells", "SELECT world_id, cell_x, cell_z, false AS available FROM cells"))

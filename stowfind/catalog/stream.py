@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from stowfind.catalog.base import query, sql
+from stowfind.catalog.base import EPOCH_MS, query, sql
+from stowfind.catalog.index import cell_updates
 from stowfind.operators.ordered import running_count
-from stowfind.sources.tables import Tables
+from stowfind.plans.maintain import set_cells
+from stowfind.session import shared_folder
+from stowfind.sources.store import TableStore
+from stowfind.sources.tables import Tables, epoch_ms
 from stowfind.streaming import feed
-from stowfind.streaming.debounce import coalesce
+from stowfind.streaming.debounce import coalesce, coalesce_stream
+from stowfind.streaming.sinks import ROCKSDB, run_to_table, upsert_stream
 
 CHUNK = 96
 
@@ -84,3 +91,46 @@ def world_events(t: Tables):
     WHERE kind IS NOT NULL""")
 def t11(t):
     return feed.changes(world_events(t)).select("key", "kind", "seq")
+
+
+STREAM_TICK, STREAM_LATE = 1_800_000, 3_600_000
+
+
+def event_stream(t: Tables):
+    """The events table as a stream of changes."""
+    batch = t.read("events")
+    rows = t.spark.readStream.schema(batch.schema).parquet(f"{t.folder}/events*.parquet")
+    kind = F.when(F.col("event_type").isin("click", "view"), "transfer") \
+        .when(F.col("event_type") == "error", "delete").otherwise("dirty")
+    return rows.select(F.col("user_id").alias("key"), F.timestamp_millis(epoch_ms(F.col("ts"))).alias("ts"),
+                       F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+@query("t02_debounce_stream", sql("bursts", f"""
+    SELECT b.* FROM bursts b, (SELECT max({EPOCH_MS}) - {STREAM_LATE} AS mark FROM events)
+    WHERE (claim_tick + 1) * {STREAM_TICK} <= mark""", _BURSTS))
+def t02_stream(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    place = f"{shared_folder(t.spark)}/stowfind-stream-{uuid.uuid4().hex}"
+    bursts = coalesce_stream(event_stream(t), STREAM_TICK, f"{STREAM_LATE} milliseconds")
+    return run_to_table(bursts, f"{place}/out", f"{place}/checkpoint")
+
+
+@query("s06_cell_upsert_stream", sql("cells", """
+    SELECT world_id, cell_x, cell_z, max_by(available, seq) AS available, max_by(revision, seq) AS revision FROM (
+        SELECT world_id, cell_x, cell_z, available, 0 AS revision, -1 AS seq FROM cells
+        UNION ALL SELECT CASE WHEN user_id % 2 = 0 THEN 'O' ELSE 'F' END, user_id % 16 - 8, event_id % 16 - 8,
+                         event_type <> 'error', CAST(floor(value) AS BIGINT), event_id FROM events)
+    GROUP BY world_id, cell_x, cell_z"""))
+def s06_stream(t):
+    place = f"{shared_folder(t.spark)}/stowfind-stream-{uuid.uuid4().hex}"
+    store = TableStore(t.spark, f"{place}/store")
+    store.write({"cells": t.cells().withColumn("revision", F.lit(0).cast("long"))})
+    events = t.spark.readStream.schema(t.read("events").schema).parquet(f"{t.folder}/events*.parquet")
+    updates = cell_updates(events)
+
+    def apply(tables, version, batch):
+        return {"cells": set_cells(tables.read("cells", version), batch)}
+
+    upsert_stream(updates, store, f"{place}/checkpoint", apply).awaitTermination()
+    return store.read("cells")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from stowfind.operators.ordered import neighbour, running_total
 
@@ -95,3 +96,63 @@ def coalesce(changes: DataFrame, chunk_ticks: int = 12_000) -> DataFrame:
         .repartition("key", "island").sortWithinPartitions("key", "island", "tick")
         .mapInPandas(_fold, WORK))
     return short.unionByName(folded)
+
+
+class Debouncer(StatefulProcessor):
+    """One open burst per key; ticks arrive complete and in order of the watermark."""
+
+    def __init__(self, tick_ms: int):
+        self.tick_ms = tick_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.work = handle.getValueState("work", "start long, claim long, kind string, revision long, events long")
+        self.seen = handle.getValueState("seen", "revision long")
+
+    def _row(self, key: int, work: tuple) -> pd.DataFrame:
+        start, claim, kind, revision, events = work
+        action = "DELETE" if kind == "delete" else "SNAPSHOT"
+        return pd.DataFrame([(key, start, claim, revision, action, events)],
+                            columns=["key", "start_tick", "claim_tick", "revision", "action", "events"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ticks = pd.concat(list(rows)).sort_values("tick")
+        work = tuple(self.work.get()) if self.work.exists() else None
+        revision = self.seen.get()[0] if self.seen.exists() else 0
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for tick, kind, n in zip(ticks["tick"].tolist(), ticks["kind"].tolist(), ticks["n"].tolist()):
+            revision += n
+            if work is not None and tick > work[1]:
+                yield self._row(key[0], work)
+                work = None
+            start = tick if work is None else work[0]
+            events = n if work is None else work[4] + n
+            work = (start, due_tick(kind, tick, start), kind, revision, events)
+        self.work.update(work)
+        self.seen.update((revision,))
+        self.handle.registerTimer((work[1] + 1) * self.tick_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.work.exists():
+            yield self._row(key[0], tuple(self.work.get()))
+            self.work.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def coalesce_stream(changes: DataFrame, tick_ms: int = 50, lateness: str = "10 seconds") -> DataFrame:
+    """Streaming counterpart of ``coalesce`` for rows (key, ts, seq, kind).
+
+    A windowed aggregation first reduces each key to one row per tick, with
+    partial aggregation before the shuffle, and lets the watermark put ticks in
+    order; the state behind it is a single open burst per key.
+    """
+    ticks = (
+        changes.withWatermark("ts", lateness)
+        .groupBy("key", F.window("ts", f"{tick_ms} milliseconds"))
+        .agg(F.max_by("kind", "seq").alias("kind"), F.count(F.lit(1)).alias("n"))
+        .select("key", F.floor(F.unix_millis("window.start") / tick_ms).alias("tick"), "kind", "n"))
+    return ticks.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Debouncer(tick_ms), outputStructType=WORK, outputMode="Append", timeMode="EventTime")
