@@ -170,7 +170,8 @@ def probes(t: Tables):
     mate = F.when(k % 2 == 0, k + 1).otherwise(k - 1)
     paired = F.floor(k / 2) % 3 != 0
     places = blocks.select(k.alias("mate_id"), F.struct("world_id", "x", "y", "z").alias("mate"))
-    rows = blocks.withColumn("mate_id", F.when(paired, mate)).join(places, "mate_id", "left")
+    rows = blocks.filter(paired).withColumn("mate_id", mate).join(places, "mate_id", "left").drop("mate_id").unionByName(
+        blocks.filter(~paired), allowMissingColumns=True)
     return rows.select(
         "world_id", "x", "y", "z", (c % 19 != 0).alias("available"), (c % 23 != 0).alias("present"),
         F.when(c % 29 == 0, "minecraft:ender_chest").when(c % 31 == 0, " ")

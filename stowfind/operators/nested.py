@@ -130,7 +130,9 @@ def resolve_pairs(probes: DataFrame) -> DataFrame:
         F.col("persistent").alias("m_persistent"), F.col("unresolved_loot").alias("m_loot"),
         F.col("other").alias("m_other"), F.col("other_loaded").alias("m_loaded"),
         F.col("has_inventory").alias("m_inventory"))
-    both = me.join(mate, "other", "left")
+    # Blocks without a mate skip the join, or their NULL keys would meet in one task.
+    both = me.filter("other is not null").join(mate, "other", "left").unionByName(
+        me.filter("other is null"), allowMissingColumns=True)
     here, other = F.col("here"), F.col("other")
     canonical = F.when(other.isNull(), here).otherwise(F.least(here, other))
     mine = F.col("has_inventory")

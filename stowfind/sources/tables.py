@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 from stowfind.functions.descriptor import descriptor, semantic_hash
 from stowfind.functions.spatial import cell
+from stowfind.operators.ordered import running_count
 from stowfind.plans.index import SearchIndex
 from stowfind.session import shared_folder
 
 
+# Rows of one group that a single task may sort.
+WINDOW_ROWS = 1_000_000
+
+_largest: dict[tuple[str, str], int] = {}
+
+
 class Tables:
     """Lazy access to the tables of one folder and to the model built from them."""
 
@@ -53,13 +60,29 @@ class Tables:
             "desc_hash", semantic_hash(F.col("descriptor")))
 
     def numbered_lines(self) -> DataFrame:
-        """Line items with the slot they fill in their order."""
-        w = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-        return self.read("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
-        ).withColumn("slot", F.row_number().over(w)).select(
-            "l_orderkey", "l_partkey", "slot", F.col("l_quantity").cast("int").alias("amount"))
+        """Line items with the slot they fill in their order.
+
+        A plain window numbers an order in one task. Where the largest order is
+        too big for that, orders are numbered in chunks with the same result.
+        """
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+        lines = self.read("lineitem").select("l_orderkey", *order)
+        if self._largest_order() <= WINDOW_ROWS:
+            numbered = lines.withColumn("slot", F.row_number().over(
+                Window.partitionBy("l_orderkey").orderBy(*order)))
+        else:
+            chunk = F.col("l_linenumber").cast("long") * (1 << 40) + F.floor(F.col("l_partkey") / 256)
+            numbered = running_count(lines, ["l_orderkey"], order, chunk, "slot")
+        return numbered.select("l_orderkey", "l_partkey", F.col("slot").cast("int").alias("slot"),
+                               F.col("l_quantity").cast("int").alias("amount"))
+
+    def _largest_order(self) -> int:
+        """Rows of the largest order, counted once per application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _largest:
+            sizes = self.read("lineitem").groupBy("l_orderkey").count()
+            _largest[key] = sizes.agg(F.max("count")).first()[0] or 0
+        return _largest[key]
 
     def items(self) -> DataFrame:
         """One item per line item: (item_id, container_id, path, amount, descriptor, desc_hash)."""
