@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from stowfind.session import local_session
 
-    session = local_session(partitions=4)
+    session = local_session(partitions=2)
     yield session
     session.stop()
 
