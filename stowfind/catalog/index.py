@@ -69,8 +69,8 @@ def s05(t):
     dead = t.containers().filter("container_id % 13 = 0").select("container_id")
     containers = M.without(t.containers(), dead, ["container_id"])
     items = M.without(index.items, dead, ["container_id"])
-    left = items.groupBy("desc_hash").agg(F.count(F.lit(1)).alias("left"))
-    postings = index.postings.join(left, "desc_hash")
+    left = items.groupBy("desc_id").agg(F.count(F.lit(1)).alias("left"))
+    postings = index.postings.join(left, "desc_id")
     parts = [
         containers.select(F.lit("containers").alias("name"), F.lit(1).cast("long").alias("one")),
         items.select(F.lit("items").alias("name"), F.lit(1).cast("long").alias("one")),
@@ -106,8 +106,8 @@ def s07(t):
 @query("g07_embed_once", sql("items", """
     SELECT min(item_id) AS first_item, count(*) AS copies FROM items GROUP BY d"""))
 def g07(t):
-    first = saved_index(t).items.groupBy("desc_hash").agg(F.min("item_id").alias("first_item"))
-    both = first.join(saved_index(t).descriptors.select("desc_hash", "copies"), "desc_hash")
+    first = saved_index(t).items.groupBy("desc_id").agg(F.min("item_id").alias("first_item"))
+    both = first.join(saved_index(t).descriptors.select("desc_id", "copies"), "desc_id")
     return both.select("first_item", "copies")
 
 
@@ -115,9 +115,9 @@ def g07(t):
     SELECT material AS material_key, copies, norm, shown AS vector FROM encoded JOIN descs USING (d)""", _VECTORS))
 def v09(t):
     descriptors = saved_index(t).descriptors
-    texts = descriptors.select("desc_hash", embedding_text(F.col("descriptor")).alias("text"))
-    vectors = ENCODER.run(texts, "desc_hash")
-    return vectors.join(descriptors, "desc_hash").select(
+    texts = descriptors.select("desc_id", embedding_text(F.col("descriptor")).alias("text"))
+    vectors = ENCODER.run(texts, "desc_id")
+    return vectors.join(descriptors, "desc_id").select(
         F.col("descriptor.material_key").alias("material_key"), "copies", F.round("norm", 6).alias("norm"),
         shown().alias("vector"))
 
@@ -125,10 +125,10 @@ def v09(t):
 def old_cache(t: Tables):
     """A third of the descriptors already cached, some by another encoder."""
     third = saved_index(t).descriptors.filter(F.col("descriptor.scalar_metadata")["size"].cast("int") % 3 == 0)
-    texts = third.select("desc_hash", embedding_text(F.col("descriptor")).alias("text"))
-    mine = ENCODER.run(texts, "desc_hash").select(
+    texts = third.select("desc_id", embedding_text(F.col("descriptor")).alias("text"))
+    mine = ENCODER.run(texts, "desc_id").select(
         F.lit(ENCODER.provider_id).alias("provider_id"), F.lit(ENCODER.version).alias("provider_version"),
-        "desc_hash", "vector", "norm")
+        "desc_id", "vector", "norm")
     return mine.unionByName(mine.withColumn("provider_id", F.lit("retired")))
 
 
@@ -136,7 +136,7 @@ def old_cache(t: Tables):
     SELECT item_id, norm, shown AS vector FROM items JOIN encoded USING (d)""", _VECTORS))
 def j05(t):
     index = saved_index(t)
-    slim = index.items.select("item_id", "desc_hash")
+    slim = index.items.select("item_id", "desc_id")
     found = M.resolve_vectors(slim, index.descriptors, old_cache(t), ENCODER)
     return found.select("item_id", F.round("norm", 6).alias("norm"), shown().alias("vector"))
 
@@ -249,5 +249,5 @@ def t12(t):
     SELECT CAST(count(*) AS BIGINT) AS descriptors, CAST(sum(copies) AS BIGINT) AS items
     FROM (SELECT d, count(*) AS copies FROM items GROUP BY d)"""))
 def x01(t):
-    return distinct_descriptors(t.items()).agg(
+    return distinct_descriptors(t.slim_items(), t.parts()).agg(
         F.count(F.lit(1)).alias("descriptors"), F.sum("copies").alias("items"))

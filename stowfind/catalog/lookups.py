@@ -290,6 +290,7 @@ def t13(t):
 def s10(t):
     from stowfind.plans.index import distinct_descriptors, search_documents
 
-    items = t.items()
-    derived = items.join(search_documents(distinct_descriptors(items)), "desc_hash")
+    items = t.slim_items()
+    documents = search_documents(distinct_descriptors(items, t.parts()))
+    derived = items.join(documents.withColumnRenamed("desc_id", "desc_hash"), "desc_hash")
     return Q.same_count(items, derived)

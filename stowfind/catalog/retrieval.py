@@ -10,8 +10,9 @@ from stowfind.functions.spatial import within
 from stowfind.functions.text import query_terms
 from stowfind.operators import fusion
 from stowfind.operators.access import allowed, denied
-from stowfind.operators.bm25 import Terms, match, rank_texts
+from stowfind.operators.bm25 import Terms, boolean_match, rank_texts
 from stowfind.operators.dense import dense_top_k, mean_pool
+from stowfind.operators.joins import lookup_join
 from stowfind.operators.ordered import top_n
 from stowfind.plans import search as S
 from stowfind.plans.index import placed
@@ -169,21 +170,35 @@ def g01_df(t):
     FROM (SELECT query_id, d, copies FROM ft_match GROUP BY query_id, d, copies, n_groups
           HAVING count(DISTINCT group_no) = n_groups) GROUP BY query_id""", terms_parts("squeries")))
 def p07(t):
-    terms = Terms.measure(query_terms(t.supplier_queries()))
-    hit = match(saved_index(t).postings, terms).groupBy("query_id", "desc_hash", "copies", "n_groups").agg(
-        F.size(F.collect_set("group_no")).alias("groups")).filter("groups = n_groups")
-    return hit.groupBy("query_id").agg(
+    index = saved_index(t)
+    questions, texts = S.ask_once(t.supplier_queries())
+    terms = Terms.measure(query_terms(texts))
+    hit = boolean_match(index.postings, index.vocabulary, terms, ["desc_id", "copies"])
+    counts = hit.groupBy(F.col("query_id").alias("text_id")).agg(
         F.sum("copies").alias("items"), F.count(F.lit(1)).alias("descriptors"))
+    return questions.select("query_id", "text_id").join(counts, "text_id").drop("text_id")
+
+
+def text_scores(t: Tables):
+    """Full-text scores per query: texts are scored once and handed to their queries."""
+    questions, texts = S.ask_once(t.supplier_queries())
+    scores = S.full_text_scores(saved_index(t), Terms.measure(query_terms(texts)))
+    named = questions.select("query_id", "text_id")
+    return lookup_join(scores.withColumnRenamed("query_id", "text_id"), named, ["text_id"], spread_by=["desc_id"])
+
+
+def text_cosines(t: Tables):
+    questions, texts = S.ask_once(t.supplier_queries())
+    scores = S.sparse_scores(saved_index(t).vectors, texts).withColumnRenamed("query_id", "text_id")
+    return lookup_join(scores, questions.select("query_id", "text_id"), ["text_id"], spread_by=["desc_id"])
 
 
 @query("g02_bm25_score", sql("ft_scores descs", """
     SELECT query_id, round(score, 6) AS score, copies, material AS material_key, p_type, p_brand, p_size,
            has_lore FROM ft_scores JOIN descs USING (d)""", terms_parts("squeries")))
 def g02(t):
-    index = saved_index(t)
-    terms = Terms.measure(query_terms(t.supplier_queries()))
     d = F.col("descriptor")
-    return S.full_text_scores(index, terms).join(index.descriptors, "desc_hash").select(
+    return text_scores(t).join(saved_index(t).descriptors, "desc_id").select(
         "query_id", r6("score"), "copies", d["material_key"].alias("material_key"), d["traits"][0].alias("p_type"),
         d["custom_tags"][0].alias("p_brand"), d["scalar_metadata"]["size"].cast("int").alias("p_size"),
         (F.size(d["lore"]) > 0).alias("has_lore"))
@@ -218,17 +233,15 @@ def g02_documents(t):
     SELECT query_id, item_id, CAST(cut AS INT) AS cut, round(score, 6) AS score FROM ft_cut""",
     search_parts("squeries", limit=20)))
 def l01(t):
-    terms = Terms.measure(query_terms(t.supplier_queries()))
-    hits = candidates(t).join(S.full_text_scores(saved_index(t), terms), ["query_id", "desc_hash"])
+    hits = candidates(t).join(text_scores(t), ["query_id", "desc_id"])
     return S.full_text_cut(hits, 20).select("query_id", "item_id", F.col("_cut").alias("cut"), r6("score"))
 
 
 @query("w01_full_text_rank", sql("ft", """
     SELECT query_id, item_id, CAST(ft_rank AS INT) AS ft_rank FROM ft""", MANY))
 def w01(t):
-    terms = Terms.measure(query_terms(t.supplier_queries()))
-    scores = S.full_text_scores(saved_index(t), terms)
-    hits = S.full_text_hits(candidates(t).join(scores, ["query_id", "desc_hash"]), Policy(), t.decisions())
+    scored = candidates(t).join(text_scores(t), ["query_id", "desc_id"])
+    hits = S.full_text_hits(scored, Policy(), t.decisions())
     return hits.select("query_id", "item_id", "ft_rank")
 
 
@@ -240,7 +253,7 @@ def w01(t):
 def v01(t):
     index = saved_index(t)
     d = F.col("descriptor")
-    return index.vectors.join(index.descriptors, "desc_hash").select(
+    return index.vectors.join(index.descriptors, "desc_id").select(
         "copies", d["material_key"].alias("material_key"), d["traits"][0].alias("p_type"),
         d["custom_tags"][0].alias("p_brand"), d["scalar_metadata"]["size"].cast("int").alias("p_size"),
         (F.size(d["lore"]) > 0).alias("has_lore"), "term", "weight")
@@ -251,7 +264,7 @@ def v01(t):
     FROM vecs JOIN descs USING (d) GROUP BY token"""))
 def g06(t):
     index = saved_index(t)
-    both = index.vectors.join(index.descriptors.select("desc_hash", "copies"), "desc_hash")
+    both = index.vectors.join(index.descriptors.select("desc_id", "copies"), "desc_id")
     return both.groupBy("term").agg(
         F.count(F.lit(1)).alias("descriptors"), F.sum(F.col("weight") * F.col("copies")).alias("weight"))
 
@@ -277,8 +290,7 @@ _COSINES = """
 def cosines(t: Tables):
     index = saved_index(t)
     d = F.col("descriptor")
-    scores = S.sparse_scores(index.vectors, t.supplier_queries())
-    return scores.join(index.descriptors, "desc_hash").select(
+    return text_cosines(t).join(index.descriptors, "desc_id").select(
         "query_id", "copies", d["material_key"].alias("material_key"), d["traits"][0].alias("p_type"),
         d["custom_tags"][0].alias("p_brand"), d["scalar_metadata"]["size"].cast("int").alias("p_size"),
         (F.size(d["lore"]) > 0).alias("has_lore"), r6("cosine"))
@@ -300,8 +312,8 @@ def p06(t):
 def j08(t):
     index = saved_index(t)
     terms = S.query_vectors(t.supplier_queries()).drop("lead")
-    both = index.vectors.join(terms, "term").groupBy("query_id", "desc_hash").agg(F.sum("weight").alias("dot"))
-    return both.join(index.descriptors.select("desc_hash", "copies"), "desc_hash").groupBy("query_id").agg(
+    both = index.vectors.join(terms, "term").groupBy("query_id", "desc_id").agg(F.sum("weight").alias("dot"))
+    return both.join(index.descriptors.select("desc_id", "copies"), "desc_id").groupBy("query_id").agg(
         F.sum(F.col("dot") * F.col("copies")).alias("dot"), F.count(F.lit(1)).alias("descriptors"))
 
 
@@ -342,8 +354,7 @@ def g09(t):
 @query("w02_semantic_rank", sql("sem", """
     SELECT query_id, item_id, CAST(sem_rank AS INT) AS sem_rank, round(cosine, 6) AS cosine FROM sem""", MANY))
 def w02(t):
-    scores = S.sparse_scores(saved_index(t).vectors, t.supplier_queries())
-    scored = candidates(t).join(scores, ["query_id", "desc_hash"])
+    scored = candidates(t).join(text_cosines(t), ["query_id", "desc_id"])
     return S.semantic_hits(scored, Policy(), t.decisions()).select("query_id", "item_id", "sem_rank", r6("cosine"))
 
 
@@ -352,8 +363,7 @@ def w02(t):
     search_parts("squeries", limit=10, min_score=0.2)))
 def l02(t):
     policy = Policy(semantic_limit=10, min_score=0.2)
-    scores = S.sparse_scores(saved_index(t).vectors, t.supplier_queries())
-    scored = candidates(t, policy).join(scores, ["query_id", "desc_hash"])
+    scored = candidates(t, policy).join(text_cosines(t), ["query_id", "desc_id"])
     return S.semantic_hits(scored, policy, t.decisions()).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("hits"), F.round(F.min("cosine"), 6).alias("lowest"))
 
@@ -420,9 +430,9 @@ def w05(t):
 def j01(t):
     index = saved_index(t)
     per_cell = index.items.join(index.cells.filter("available"), ["world_id", "cell_x", "cell_z"], "left_semi")
-    per_descriptor = per_cell.groupBy("desc_hash", "world_id").agg(
+    per_descriptor = per_cell.groupBy("desc_id", "world_id").agg(
         F.count(F.lit(1)).alias("items"), F.sum("amount").alias("amount"))
-    return index.postings.join(per_descriptor, "desc_hash").groupBy("token", "world_id").agg(
+    return index.postings.join(per_descriptor, "desc_id").groupBy("token", "world_id").agg(
         F.sum("items").alias("items"), F.sum("amount").alias("amount"))
 
 

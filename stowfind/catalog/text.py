@@ -87,7 +87,7 @@ def f04(t):
 
     d = F.col("descriptor")
     fields = D.search_fields(d)
-    return distinct_descriptors(t.items()).select(
+    return distinct_descriptors(t.slim_items(), t.parts()).select(
         "copies", d["material_key"].alias("material_key"), d["traits"][0].alias("p_type"),
         d["custom_tags"][0].alias("p_brand"), d["scalar_metadata"]["size"].cast("int").alias("p_size"),
         (F.size(d["lore"]) > 0).alias("has_lore"), *[joined(c).alias(n) for n, c in fields.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowfind.functions.text import query_terms, tokenize
-from stowfind.operators.joins import MAX_BYTES, MAX_ROWS, lookup_join
+from stowfind.operators.joins import MAX_BYTES, MAX_ROWS, fits_broadcast, lookup_join, salted
 from stowfind.operators.ordered import top_n
 
 # BM25 parameters and the floor for terms in most rows.
@@ -20,25 +20,20 @@ DIGITS = 12
 
 @dataclass
 class Terms:
-    """Query terms with what the plan needs to know about them."""
+    """Query terms and whether they are measured small enough to broadcast."""
 
     rows: DataFrame
     count: int
     small: bool
-    prefix_lengths: list[int]
 
     @classmethod
     def measure(cls, terms: DataFrame) -> Terms:
-        """Size and prefix lengths in one job; reading stops one row past the limit."""
-        length = F.when(F.col("is_prefix"), F.length("term"))
+        """Measure in one job; reading stops one row past the limit."""
         seen = terms.limit(MAX_ROWS + 1).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + 32).alias("bytes"),
-            F.collect_set(length).alias("lengths")).first()
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + 32).alias("bytes")).first()
         small = seen["n"] <= MAX_ROWS and (seen["bytes"] or 0) <= MAX_BYTES
-        lengths = seen["lengths"]
-        if seen["n"] > MAX_ROWS:
-            lengths = terms.agg(F.collect_set(length).alias("lengths")).first()["lengths"]
-        return cls(terms, seen["n"], small, sorted(lengths))
+        phrase = F.when(F.col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(F.col("term"))
+        return cls(terms.withColumn("phrase", phrase), seen["n"], small)
 
 
 def postings(docs: DataFrame, keys: list[str], fields: dict[str, tuple[str, float]]) -> DataFrame:
@@ -61,23 +56,31 @@ def document_length(fields: dict[str, tuple[str, float]]) -> Column:
     return sum((F.size(c) for c, _ in fields.values()), F.lit(0))
 
 
-def match(post: DataFrame, terms: Terms) -> DataFrame:
-    """Postings that a query term matches, exactly or by prefix, as an equi-join.
+def phrase_tokens(vocabulary: DataFrame, terms: Terms) -> DataFrame:
+    """(phrase, token, lead): the vocabulary tokens of each distinct phrase.
 
-    Every token is looked up as itself and as its prefixes of the lengths that
-    occur in the queries, so no vocabulary pass and no pairwise comparison. The
-    first character is part of the key: it prunes partitions of saved postings.
+    Prefix phrases meet the vocabulary in an equi-join: every token is looked up
+    under its prefixes, but only those up to the longest prefix asked for. The
+    corpus itself is then joined on whole tokens only.
     """
-    keyed = terms.rows.withColumn("_len", F.when(F.col("is_prefix"), F.length("term")).otherwise(0)) \
-        .withColumnRenamed("term", "_key").drop("is_prefix")
-    keyed = keyed.withColumn("lead", F.substring("_key", 1, 1))
-    looks = [F.struct(F.lit(0).alias("_len"), F.col("token").alias("_key"))] + [
-        F.struct(F.lit(n).alias("_len"), F.substring("token", 1, n).alias("_key"))
-        for n in terms.prefix_lengths
-    ]
-    seen = post.select("*", F.inline(F.array(*looks)))
-    seen = seen.filter((F.col("_len") == 0) | (F.length("token") >= F.col("_len")))
-    return lookup_join(seen, keyed, ["lead", "_len", "_key"], fits=terms.small).drop("lead", "_len", "_key")
+    phrases = terms.rows.select("phrase", "term", "is_prefix").distinct()
+    plain = phrases.filter("not is_prefix").select("phrase", F.col("term").alias("token"))
+    asked = phrases.filter("is_prefix").select("phrase", F.col("term").alias("_key"))
+    longest = asked.agg(F.max(F.length("_key"))).scalar()
+    known = vocabulary.select("token").withColumn("_most", F.least(F.length("token"), longest))
+    looked_up = known.filter("_most > 0").select("token", F.explode(F.sequence(F.lit(1), F.col("_most"))).alias("_n"))
+    looked_up = looked_up.select("token", F.expr("substring(token, 1, _n)").alias("_key"))
+    found = lookup_join(looked_up, asked, ["_key"], fits=terms.small).select("phrase", "token")
+    return plain.unionByName(found).withColumn("lead", F.substring("token", 1, 1))
+
+
+def phrase_hits(post: DataFrame, vocabulary: DataFrame, terms: Terms) -> DataFrame:
+    """Postings with the phrases they match."""
+    wanted = phrase_tokens(vocabulary, terms)
+    if terms.small and fits_broadcast(wanted):
+        return post.join(F.broadcast(wanted), ["lead", "token"])
+    # A prefix may stand for very many tokens; then both sides are shuffled and salted.
+    return salted(post, wanted, ["lead", "token"], "inner", [c for c in post.columns if c not in ("lead", "token")])
 
 
 def corpus_stats(docs: DataFrame, doc_len: Column, copies: Column) -> DataFrame:
@@ -88,41 +91,51 @@ def corpus_stats(docs: DataFrame, doc_len: Column, copies: Column) -> DataFrame:
     )
 
 
-def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copies: str | None = None,
-         clustered: bool = False) -> DataFrame:
+def boolean_match(post: DataFrame, vocabulary: DataFrame, terms: Terms, keys: list[str]) -> DataFrame:
+    """(query_id, keys) of rows that match all groups of a query, unscored."""
+    hits = phrase_hits(post, vocabulary, terms).select("phrase", *keys).distinct()
+    rows = terms.rows.select("phrase", "query_id", "n_groups", "group_no").distinct()
+    groups = lookup_join(hits, rows, ["phrase"], fits=terms.small).select(
+        "query_id", *keys, "n_groups", "group_no").distinct()
+    whole = groups.groupBy("query_id", *keys, "n_groups").count()
+    return whole.filter("count = n_groups").select("query_id", *keys)
+
+
+def bm25(post: DataFrame, vocabulary: DataFrame, stats: DataFrame, terms: Terms, keys: list[str],
+         copies: str | None = None) -> DataFrame:
     """(query_id, keys, score) of rows that match all groups of a query; lower is better.
 
-    ``copies`` names a column telling for how many corpus rows a key stands.
-    Matches of a key are brought together once and both aggregations reuse that;
-    ``clustered`` says that the postings already are partitioned by their keys.
+    A phrase is scored once per row, however many queries ask for it, and only
+    then handed to its queries. ``copies`` names a column telling for how many
+    corpus rows a key stands. Hits of a key are brought together once; all
+    aggregations by key reuse that partitioning.
     """
-    matched = match(post, terms)
-    if not clustered:
-        matched = matched.repartition(*keys)
     extra = [copies] if copies else []
-    per_phrase = matched.groupBy(
-        "query_id", *keys, "n_groups", "group_no", "phrase_no", "doc_len", *extra
-    ).agg(F.sum("w").alias("f"))
-    df = per_phrase.groupBy("query_id", "group_no", "phrase_no").agg(
+    hits = phrase_hits(post, vocabulary, terms).repartition(*keys)
+    per_phrase = hits.groupBy(*keys, "phrase", "doc_len", *extra).agg(F.sum("w").alias("f"))
+    df = per_phrase.groupBy("phrase").agg(
         (F.sum(copies) if copies else F.count(F.lit(1))).cast("double").alias("df"))
     raw_idf = F.log((F.col("s.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     corpus = stats.select(F.struct("n_docs", "avg_len")).scalar()
     idf = df.withColumn("s", corpus).select(
-        "query_id", "group_no", "phrase_no", F.col("s.avg_len").alias("avg_len"),
+        "phrase", F.col("s.avg_len").alias("avg_len"),
         F.when(raw_idf > 0, raw_idf).otherwise(IDF_FLOOR).alias("idf"))
-    # As many rows as there are query phrases, so as bounded as the terms.
-    idf = F.broadcast(idf) if terms.small else idf
+    asked = terms.rows.select("phrase", "query_id", "n_groups", "group_no").join(idf, "phrase")
     f, length = F.col("f"), F.col("doc_len")
     part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("avg_len")))
-    scored = (
-        per_phrase.join(idf, ["query_id", "group_no", "phrase_no"])
-        .groupBy("query_id", *keys, "n_groups")
-        .agg(F.sum(part).alias("total"), F.size(F.collect_set("group_no")).alias("matched_groups"))
-    )
-    return scored.filter(F.col("matched_groups") == F.col("n_groups")).select(
+    # As many rows as there are terms, so as bounded as these.
+    by_group = lookup_join(per_phrase, asked, ["phrase"], spread_by=keys, fits=terms.small).groupBy(
+        "query_id", *keys, "n_groups", "group_no").agg(F.sum(part).alias("part"))
+    scored = by_group.groupBy("query_id", *keys, "n_groups").agg(
+        F.sum("part").alias("total"), F.count(F.lit(1)).alias("matched"))
+    return scored.filter(F.col("matched") == F.col("n_groups")).select(
         "query_id", *keys, F.round(-F.col("total"), DIGITS).alias("score"))
 
 
+def vocabulary_of(post: DataFrame) -> DataFrame:
+    return post.select("token").distinct()
+
+
 def text_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Plain texts as one-field documents."""
     return documents.select(key, tokenize(F.col(text)).alias("tokens"))
@@ -134,5 +147,6 @@ def rank_texts(documents: DataFrame, key: str, text: str, queries: DataFrame, n:
     fields = {"text": ("tokens", 1.0)}
     terms = Terms.measure(query_terms(queries))
     stats = corpus_stats(docs, document_length(fields), F.lit(1))
-    scores = bm25(postings(docs, [key], fields), stats, terms, [key])
+    post = postings(docs, [key], fields)
+    scores = bm25(post, vocabulary_of(post), stats, terms, [key])
     return top_n(scores, ["query_id"], [F.asc("score"), F.asc(key)], n)

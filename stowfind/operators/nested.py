@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stowfind.operators.ordered import top_n
 
 INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
-NODE = ["root_id", "node_id", "depth", "path", "trail", "ancestors", "kind"]
 
 
 def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -25,39 +24,35 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
         raise ValueError("max_depth must lie in 1..8")
     families = edges.groupBy(F.col("parent_id").alias("node_id")).agg(
         F.count(F.lit(1)).alias("children"), F.max(F.coalesce("is_bad", F.lit(True))).alias("bad"))
-    kids = edges.select(F.col("parent_id").alias("node_id"), "child_id", "label", "slot", "fingerprint")
+    # Each edge learns about its child's own children once, so a level costs one join.
+    kids = edges.select("parent_id", F.col("child_id").alias("node_id"), "label", "slot", "fingerprint").join(
+        families, "node_id", "left").withColumnRenamed("node_id", "child_id")
 
     def step(label: str, slot: str) -> Column:
         return F.struct(F.col(label).alias("label"), F.col(slot).alias("slot"))
 
-    def mark(level: DataFrame, depth: int) -> DataFrame:
-        known = level.join(families, "node_id", "left")
+    def kind(depth: int) -> Column:
+        """What happens to a node at this depth; only the first level can end as a plain leaf at the limit."""
         inner = F.when(F.col("children").isNull(), "leaf").when(
             F.lit(depth == max_depth), "depth").when(F.col("bad"), "bad").otherwise("open")
         if depth == 1:
-            kind = inner
-        elif depth == max_depth:
-            kind = F.when(F.col("again"), "cycle").otherwise("depth")
-        else:
-            kind = F.when(F.col("again"), "cycle").otherwise(inner)
-        return known.select("root_id", "node_id", F.lit(depth).alias("depth"), "path", "trail",
-                            "ancestors", kind.alias("kind"))
-
-    first = roots.select(
-        "root_id", "node_id", F.array(step("label", "slot")).alias("path"),
+            return inner
+        return F.when(F.col("again"), "cycle").otherwise(F.lit("depth") if depth == max_depth else inner)
+
+    level = roots.join(families, "node_id", "left").select(
+        "root_id", "node_id", F.lit(1).alias("depth"), F.array(step("label", "slot")).alias("path"),
         F.array(F.struct("slot", F.col("node_id").alias("id"))).alias("trail"),
-        F.array("fingerprint").alias("ancestors"))
-    level = mark(first, 1)
+        F.array("fingerprint").alias("ancestors"), kind(1).alias("kind"))
     nodes = level
     for depth in range(2, max_depth + 1):
-        opened = level.filter("kind = 'open'").select("root_id", "node_id", "path", "trail", "ancestors")
-        children = opened.join(kids, "node_id").select(
-            "root_id", F.col("child_id").alias("node_id"),
+        opened = level.filter("kind = 'open'").select(
+            "root_id", F.col("node_id").alias("parent_id"), "path", "trail", "ancestors")
+        level = opened.join(kids, "parent_id").withColumn(
+            "again", F.array_contains("ancestors", F.col("fingerprint"))).select(
+            "root_id", F.col("child_id").alias("node_id"), F.lit(depth).alias("depth"),
             F.concat("path", F.array(step("label", "slot"))).alias("path"),
             F.concat("trail", F.array(F.struct("slot", F.col("child_id").alias("id")))).alias("trail"),
-            F.array_contains("ancestors", F.col("fingerprint")).alias("again"),
-            F.concat("ancestors", F.array("fingerprint")).alias("ancestors"))
-        level = mark(children, depth)
+            F.concat("ancestors", F.array("fingerprint")).alias("ancestors"), kind(depth).alias("kind"))
         nodes = nodes.unionByName(level)
     return nodes
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stowfind.functions.descriptor import FIELD_WEIGHTS, search_fields, semantic_hash, weighted_texts
 from stowfind.functions.spatial import cell
 from stowfind.functions.text import ALIASES, expand, tokenize
-from stowfind.operators.bm25 import corpus_stats, document_length, postings
+from stowfind.operators.bm25 import corpus_stats, document_length, postings, vocabulary_of
+from stowfind.operators.joins import lookup_join
 
 PLACE = ["world_id", "x", "y", "z", "cell_x", "cell_z", "block_type"]
 
@@ -19,20 +20,25 @@ def placed(containers: DataFrame) -> DataFrame:
     return containers.withColumn("cell_x", cell(F.col("x"))).withColumn("cell_z", cell(F.col("z")))
 
 
-def distinct_descriptors(items: DataFrame) -> DataFrame:
-    """One row per semantic hash with the number of items that share it.
+def distinct_descriptors(items: DataFrame, descriptors: DataFrame | None = None) -> DataFrame:
+    """One row per descriptor with the number of items that share it.
 
     Most stacks repeat a few descriptors, so text work and scoring run on this
-    table and its output stays partitioned by the hash.
+    table. Where descriptors come as a table of their own, only hashes are
+    counted over the items.
     """
-    return items.groupBy("desc_hash").agg(
-        F.any_value("descriptor").alias("descriptor"), F.count(F.lit(1)).alias("copies"))
+    if descriptors is None:
+        return items.groupBy(F.col("desc_hash").alias("desc_id")).agg(
+            F.any_value("descriptor").alias("descriptor"), F.count(F.lit(1)).alias("copies"))
+    counts = items.groupBy("desc_hash").agg(F.count(F.lit(1)).alias("copies"))
+    known = descriptors.groupBy("desc_hash").agg(F.any_value("descriptor").alias("descriptor"))
+    return known.join(counts, "desc_hash").withColumnRenamed("desc_hash", "desc_id")
 
 
 def search_documents(descriptors: DataFrame, aliases=ALIASES) -> DataFrame:
     """Descriptors with the five full-text fields as token arrays."""
     fields = search_fields(F.col("descriptor"), aliases)
-    return descriptors.select("desc_hash", "copies", *[c.alias(n) for n, c in fields.items()])
+    return descriptors.select("desc_id", "copies", *[c.alias(n) for n, c in fields.items()])
 
 
 FIELDS = {n: (n, w) for n, w in FIELD_WEIGHTS.items()}
@@ -40,11 +46,11 @@ FIELDS = {n: (n, w) for n, w in FIELD_WEIGHTS.items()}
 
 def descriptor_postings(documents: DataFrame) -> DataFrame:
     """Postings of descriptors; the weights of a token's fields are added up."""
-    rows = postings(documents, ["desc_hash", "copies"], FIELDS)
-    return rows.groupBy("desc_hash", "copies", "doc_len", "token", "lead").agg(F.sum("w").alias("w"))
+    rows = postings(documents, ["desc_id", "copies"], FIELDS)
+    return rows.groupBy("desc_id", "copies", "doc_len", "token", "lead").agg(F.sum("w").alias("w"))
 
 
-def sparse_vectors(descriptors: DataFrame, key: str = "desc_hash", descriptor: str = "descriptor",
+def sparse_vectors(descriptors: DataFrame, key: str = "desc_id", descriptor: str = "descriptor",
                    aliases=ALIASES) -> DataFrame:
     """(key, term, weight, norm, lead): per text each token and synonym once, weights added up.
 
@@ -64,60 +70,82 @@ def sparse_vectors(descriptors: DataFrame, key: str = "desc_hash", descriptor: s
 class SearchIndex:
     """Tables a search reads.
 
-    items        item_id, container_id, path, amount, material_key, desc_hash and place
-    descriptors  desc_hash, descriptor, copies
-    postings     desc_hash, copies, doc_len, token, lead, w
-    vectors      desc_hash, term, weight, norm, lead
+    items        item_id, container_id, path, amount, material_key, desc_id and place
+    descriptors  desc_id, descriptor, copies
+    postings     desc_id, copies, doc_len, token, lead, w
+    vocabulary   token
+    vectors      desc_id, term, weight, norm, lead
     stats        one row: n_docs, avg_len
     cells        world_id, cell_x, cell_z, available
+
+    ``desc_id`` is the semantic hash in a lazy index and a number in a saved one.
     """
 
     items: DataFrame
     descriptors: DataFrame
     postings: DataFrame
+    vocabulary: DataFrame
     vectors: DataFrame
     stats: DataFrame
     cells: DataFrame
 
     @classmethod
-    def build(cls, items: DataFrame, containers: DataFrame, cells: DataFrame) -> SearchIndex:
-        """Lazy index over model tables; items may bring ``desc_hash``, else it is computed."""
+    def build(cls, items: DataFrame, containers: DataFrame, cells: DataFrame,
+              descriptors: DataFrame | None = None) -> SearchIndex:
+        """Lazy index over model tables.
+
+        Items carry ``descriptor``, or ``desc_hash`` and ``material_key`` when
+        ``descriptors`` (desc_hash, descriptor) are a table of their own.
+        """
         if "desc_hash" not in items.columns:
             items = items.withColumn("desc_hash", semantic_hash(F.col("descriptor")))
-        slim = items.select("item_id", "container_id", "path", "amount",
-                            F.col("descriptor.material_key").alias("material_key"), "desc_hash")
+        if "material_key" not in items.columns:
+            items = items.withColumn("material_key", F.col("descriptor.material_key"))
+        slim = items.select("item_id", "container_id", "path", "amount", "material_key",
+                            F.col("desc_hash").alias("desc_id"))
         here = placed(containers).select("container_id", *PLACE)
-        return cls.over(slim.join(here, "container_id"), distinct_descriptors(items), cells)
+        return cls.over(slim.join(here, "container_id"), distinct_descriptors(items, descriptors), cells)
 
     @classmethod
     def over(cls, items: DataFrame, descriptors: DataFrame, cells: DataFrame) -> SearchIndex:
         documents = search_documents(descriptors)
         stats = corpus_stats(documents, document_length(FIELDS), F.col("copies"))
-        return cls(items, descriptors, descriptor_postings(documents), sparse_vectors(descriptors),
-                   stats, cells)
+        post = descriptor_postings(documents)
+        return cls(items, descriptors, post, vocabulary_of(post), sparse_vectors(descriptors), stats, cells)
 
-    def save(self, path: str, files: int = 8) -> SearchIndex:
+    def save(self, path: str) -> SearchIndex:
         """Write all tables and return the index that reads them.
 
-        Items are clustered by world and cell so that a window prunes row groups;
-        postings and vectors are partitioned by first character and sorted by
-        term so that a search reads only what its terms need. Descriptors are
-        written first and the text tables derive from that copy.
+        Descriptors are numbered first and everything else derives from that
+        copy. Items are gathered by cell and sorted so that a window prunes row
+        groups; postings and vectors are partitioned by first character and
+        sorted by term so that a search reads only what its terms need. The
+        rebalance hint splits partitions that a hot cell or letter makes large.
         """
         spark = self.items.sparkSession
-        items = self.items.repartitionByRange(files, "world_id", "cell_x", "cell_z", "item_id")
-        items.sortWithinPartitions("world_id", "cell_x", "cell_z").write.mode("overwrite").parquet(f"{path}/items")
-        self.descriptors.write.mode("overwrite").parquet(f"{path}/descriptors")
-        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
-        text = SearchIndex.over(self.items, spark.read.parquet(f"{path}/descriptors"), self.cells)
-        for name, key in (("postings", "token"), ("vectors", "term")):
-            # A hot first character is split over several tasks by the term and hash.
-            table = getattr(text, name).repartitionByRange(files, "lead", key, "desc_hash")
-            table.sortWithinPartitions("lead", key).write.mode("overwrite").partitionBy("lead").parquet(f"{path}/{name}")
+
+        def put(table: DataFrame, name: str, by: list[str], order: list[str], parts: list[str]) -> None:
+            table = table.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*parts, *order)
+            table.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/{name}")
+
+        numbered = self.descriptors.withColumnRenamed("desc_id", "desc_hash").withColumn(
+            "desc_id", F.monotonically_increasing_id())
+        numbered.write.mode("overwrite").parquet(f"{path}/descriptors")
+        numbered = spark.read.parquet(f"{path}/descriptors")
+        ids = numbered.select("desc_hash", "desc_id")
+        items = lookup_join(self.items.withColumnRenamed("desc_id", "desc_hash"), ids, ["desc_hash"],
+                            spread_by=["item_id"]).drop("desc_hash")
+        put(items, "items", ["world_id", "cell_x", "cell_z"], ["world_id", "cell_x", "cell_z"], [])
+        text = SearchIndex.over(self.items, numbered.drop("desc_hash"), self.cells)
+        put(text.vectors, "vectors", ["lead"], ["term"], ["lead"])
+        put(text.postings, "postings", ["lead"], ["token"], ["lead"])
+        spark.read.parquet(f"{path}/postings").select("token").distinct().write.mode("overwrite").parquet(
+            f"{path}/vocabulary")
         text.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
         return SearchIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchIndex:
-        names = ("items", "descriptors", "postings", "vectors", "stats", "cells")
-        return cls(*(spark.read.option("basePath", f"{path}/{n}").parquet(f"{path}/{n}") for n in names))
+        names = ("items", "descriptors", "postings", "vocabulary", "vectors", "stats", "cells")
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in names))

@@ -127,17 +127,17 @@ def cache_misses(hashes: DataFrame, cache: DataFrame, encoder: BatchEncoder) ->
     """Distinct descriptor hashes the encoder has not seen."""
     mine = cache.filter((F.col("provider_id") == encoder.provider_id)
                         & (F.col("provider_version") == encoder.version))
-    return hashes.select("desc_hash").distinct().join(mine, "desc_hash", "left_anti")
+    return hashes.select("desc_id").distinct().join(mine, "desc_id", "left_anti")
 
 
 def encode_missing(descriptors: DataFrame, cache: DataFrame, encoder: BatchEncoder) -> DataFrame:
     """Cache rows to add: each unseen descriptor is encoded once."""
     missing = cache_misses(descriptors, cache, encoder)
-    texts = descriptors.join(missing, "desc_hash", "left_semi").select(
-        "desc_hash", embedding_text(F.col("descriptor")).alias("text"))
-    return encoder.run(texts, "desc_hash").select(
+    texts = descriptors.join(missing, "desc_id", "left_semi").select(
+        "desc_id", embedding_text(F.col("descriptor")).alias("text"))
+    return encoder.run(texts, "desc_id").select(
         F.lit(encoder.provider_id).alias("provider_id"), F.lit(encoder.version).alias("provider_version"),
-        "desc_hash", "vector", "norm")
+        "desc_id", "vector", "norm")
 
 
 def resolve_vectors(items: DataFrame, descriptors: DataFrame, cache: DataFrame,
@@ -147,7 +147,7 @@ def resolve_vectors(items: DataFrame, descriptors: DataFrame, cache: DataFrame,
     mine = require(
         table.filter(F.col("provider_id") == encoder.provider_id),
         provider_rule(encoder.provider_id, encoder.version))
-    return items.join(mine, "desc_hash")
+    return items.join(mine, "desc_id")
 
 
 def re_encode(descriptors: DataFrame, cache: DataFrame, encoder: BatchEncoder) -> DataFrame:

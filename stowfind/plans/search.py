@@ -42,7 +42,8 @@ def window_candidates(items: DataFrame, cells: DataFrame, queries: DataFrame, po
     is applied to the few window cells first.
     """
     places = ["world_id", "cell_x", "cell_z"]
-    windows = query_cells(queries.select("query_id", "player_id", *places[:1], "ox", "oy", "oz"),
+    carried = [c for c in ("query_id", "player_id", "text_id") if c in queries.columns]
+    windows = query_cells(queries.select(*carried, "world_id", "ox", "oy", "oz"),
                           F.lit(policy.radius).cast("long"))
     open_cells = cells.filter("available").select(*places)
     windows = windows.join(open_cells, places, "left_semi")
@@ -57,7 +58,19 @@ def window_candidates(items: DataFrame, cells: DataFrame, queries: DataFrame, po
 
 def full_text_scores(index: SearchIndex, terms: Terms) -> DataFrame:
     """BM25 of each distinct descriptor that matches a query; the corpus is the whole index."""
-    return bm25(index.postings, index.stats, terms, ["desc_hash"], copies="copies")
+    return bm25(index.postings, index.vocabulary, index.stats, terms, ["desc_id"], copies="copies")
+
+
+def ask_once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries with ``text_id``, distinct texts as queries).
+
+    Queries with the same tokens share their scores; a text is known by the
+    smallest id of its queries.
+    """
+    said = queries.withColumn("_text", F.array_join(tokenize(F.col("query")), " "))
+    texts = said.filter("_text <> ''").groupBy(F.col("_text").alias("query")).agg(F.min("query_id").alias("query_id"))
+    named = texts.select(F.col("query").alias("_text"), F.col("query_id").alias("text_id"))
+    return lookup_join(said, named, ["_text"], spread_by=["query_id"]).drop("_text"), texts
 
 
 def query_vectors(queries: DataFrame, aliases=ALIASES) -> DataFrame:
@@ -68,7 +81,7 @@ def query_vectors(queries: DataFrame, aliases=ALIASES) -> DataFrame:
     return terms.withColumn("lead", F.substring("term", 1, 1))
 
 
-def sparse_scores(vectors: DataFrame, queries: DataFrame, key: str = "desc_hash",
+def sparse_scores(vectors: DataFrame, queries: DataFrame, key: str = "desc_id",
                   small: bool | None = None) -> DataFrame:
     """(query_id, key, cosine) of each query with each vector that shares a term."""
     dots = (
@@ -83,9 +96,9 @@ def sparse_scores(vectors: DataFrame, queries: DataFrame, key: str = "desc_hash"
 def dense_scores(pairs: DataFrame, item_vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of given (query, descriptor) pairs from their dense vectors."""
     asked = lookup_join(pairs, queries.select("query_id", F.col("vector").alias("q_vector")), ["query_id"],
-                        spread_by=["desc_hash"])
-    both = asked.join(item_vectors.select("desc_hash", "vector"), "desc_hash")
-    return both.select("query_id", "desc_hash",
+                        spread_by=["desc_id"])
+    both = asked.join(item_vectors.select("desc_id", "vector"), "desc_id")
+    return both.select("query_id", "desc_id",
                        F.round(dense_cosine("vector", "q_vector"), DIGITS).alias("cosine"))
 
 
@@ -133,26 +146,28 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, policy: Policy = Polic
                   dense_queries: DataFrame | None = None) -> SearchResult:
     """Full-text and semantic retrieval per query, fused and rolled up to containers.
 
-    Both retrievers score distinct descriptors and meet the items of a query's
+    Both retrievers score distinct texts against distinct descriptors and meet the items of a query's
     window in a join on the descriptor. The semantic side is the sparse tag vector unless
-    ``item_vectors`` (desc_hash, vector) and ``dense_queries`` (query_id, vector)
+    ``item_vectors`` (desc_id, vector) and ``dense_queries`` (query_id, vector)
     are given.
     """
-    usable = queries.filter(F.size(tokenize(F.col("query"))) > 0)
-    terms = Terms.measure(query_terms(usable))
-    # Every usable query has at least one term.
-    candidates = window_candidates(index.items, index.cells, usable, policy, terms.count)
-    full_text = full_text_scores(index, terms)
+    usable, texts = ask_once(queries)
+    terms = Terms.measure(query_terms(texts))
+    candidates = window_candidates(index.items, index.cells, usable, policy, usable.count())
+    pair = ["text_id", "desc_id"]
+    full_text = full_text_scores(index, terms).withColumnRenamed("query_id", "text_id")
     if item_vectors is None:
-        cosines = sparse_scores(index.vectors, usable, small=terms.small)
+        cosines = sparse_scores(index.vectors, texts, small=terms.small).withColumnRenamed("query_id", "text_id")
     else:
         # One cosine per distinct (query, descriptor) seen in a window.
-        pairs = candidates.select("query_id", "desc_hash").distinct()
-        cosines = dense_scores(pairs, item_vectors, dense_queries)
-    first = full_text_hits(candidates.join(full_text, ["query_id", "desc_hash"]), policy, decisions)
+        pair_of_query = ["query_id", "desc_id"]
+        cosines = dense_scores(candidates.select(*pair_of_query).distinct(), item_vectors, dense_queries)
+    first = full_text_hits(candidates.join(full_text, pair), policy, decisions)
     # Without a minimum, items that share no term still count with cosine 0.
     how = "inner" if policy.min_score > 0 else "left"
-    second = semantic_hits(candidates.join(cosines, ["query_id", "desc_hash"], how), policy, decisions)
+    near = candidates.filter(within(F.col("distance"), F.lit(policy.radius)))
+    scored = near.join(cosines, pair if item_vectors is None else pair_of_query, how)
+    second = semantic_hits(scored, policy, decisions)
     ranked = fusion.rank(fusion.fuse(first, second, policy))
     shown = F.col("root_rank") <= policy.max_results
     return SearchResult(

@@ -84,16 +84,22 @@ class Tables:
             _largest[key] = sizes.agg(F.max("count")).first()[0] or 0
         return _largest[key]
 
-    def items(self) -> DataFrame:
-        """One item per line item: (item_id, container_id, path, amount, descriptor, desc_hash)."""
+    def slim_items(self) -> DataFrame:
+        """One item per line item, with the hash of its descriptor."""
         orders = self.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-        lines = self.numbered_lines().join(orders, "l_orderkey")
-        lines = lines.join(self.parts().withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+        parts = self.parts().select(
+            F.col("p_partkey").alias("l_partkey"), F.col("descriptor.material_key").alias("material_key"), "desc_hash")
+        lines = self.numbered_lines().join(orders, "l_orderkey").join(parts, "l_partkey")
         return lines.select(
             (F.col("l_orderkey") * 100 + F.col("slot")).alias("item_id"),
             F.col("l_orderkey").alias("container_id"),
             F.array(F.struct(F.col("o_orderpriority").alias("label"), F.col("slot"))).alias("path"),
-            "amount", "descriptor", "desc_hash")
+            "amount", "material_key", "desc_hash", "l_partkey")
+
+    def items(self) -> DataFrame:
+        """Items with their whole descriptor."""
+        parts = self.parts().select(F.col("p_partkey").alias("l_partkey"), "descriptor")
+        return self.slim_items().join(parts, "l_partkey").drop("l_partkey", "material_key")
 
     def cells(self) -> DataFrame:
         here = self.containers().select(
@@ -166,6 +172,6 @@ def saved_index(tables: Tables) -> SearchIndex:
     key = (tables.spark.sparkContext.applicationId, tables.folder)
     if key not in _saved:
         path = f"{shared_folder(tables.spark)}/stowfind-index-{uuid.uuid4().hex}"
-        lazy = SearchIndex.build(tables.items(), tables.containers(), tables.cells())
+        lazy = SearchIndex.build(tables.slim_items(), tables.containers(), tables.cells(), tables.parts())
         _saved[key] = lazy.save(path)
     return _saved[key]

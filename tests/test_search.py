@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowfind.functions.text import query_terms
 from stowfind.operators import access as A
-from stowfind.operators.bm25 import Terms, bm25, corpus_stats, document_length, postings
+from stowfind.operators.bm25 import Terms, bm25, corpus_stats, document_length, postings, vocabulary_of
 from stowfind.plans.index import FIELDS, SearchIndex
 from stowfind.plans.search import hybrid_search
 from stowfind.schema import Policy, Settings
@@ -43,10 +43,11 @@ def test_bm25_equals_a_full_text_engine(spark):
     terms = Terms.measure(query_terms(spark.createDataFrame(
         [(k, v[0]) for k, v in asked.items()], "query_id long, query string")))
     stats = corpus_stats(docs, document_length(FIELDS), F.lit(1))
+    post = postings(docs, ["id"], FIELDS)
     for small in (True, False):
         terms.small = small
         found = {(r["query_id"], r["id"]): r["score"] for r in bm25(
-            postings(docs, ["id"], FIELDS), stats, terms, ["id"]).collect()}
+            post, vocabulary_of(post), stats, terms, ["id"]).collect()}
         assert found.keys() == want.keys() and len(want) > 20
         assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
@@ -123,9 +124,9 @@ def test_shuffled_lookup_gives_the_same(spark, monkeypatch):
 
 def test_dense_side(spark):
     index = world(spark, [(1, 1, 0, 1, GEM), (2, 2, 0, 1, ROCK)])
-    hashes = {r["material_key"]: r["desc_hash"] for r in index.items.select("material_key", "desc_hash").collect()}
+    hashes = {r["material_key"]: r["desc_id"] for r in index.items.select("material_key", "desc_id").collect()}
     vectors = spark.createDataFrame([(hashes["minecraft:diamond"], [1.0, 0.0]), (hashes["minecraft:granite"], [0.6, 0.8])],
-                                    "desc_hash string, vector array<float>")
+                                    "desc_id string, vector array<float>")
     asked = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, vector array<float>")
     found = hybrid_search(index, ask(spark, "zzz"), Policy(min_score=0.5), item_vectors=vectors, dense_queries=asked)
     assert [(r["container_id"], r["best_score"]) for r in found.roots.collect()] == [(2, 0.5)]
