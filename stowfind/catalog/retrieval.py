@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from stowfind.catalog.base import query, search_parts, sql, terms_parts, tokens_sql
 from stowfind.functions import vectors as V
 from stowfind.functions.spatial import within
-from stowfind.functions.text import query_terms
 from stowfind.operators import fusion
 from stowfind.operators.access import allowed, denied
-from stowfind.operators.bm25 import Terms, boolean_match, rank_texts
+from stowfind.operators.bm25 import boolean_match, rank_texts
 from stowfind.operators.dense import dense_top_k, mean_pool
 from stowfind.operators.joins import lookup_join
 from stowfind.operators.ordered import top_n
@@ -171,9 +170,8 @@ def g01_df(t):
           HAVING count(DISTINCT group_no) = n_groups) GROUP BY query_id""", terms_parts("squeries")))
 def p07(t):
     index = saved_index(t)
-    questions, texts = S.ask_once(t.supplier_queries())
-    terms = Terms.measure(query_terms(texts))
-    hit = boolean_match(index.postings, index.vocabulary, terms, ["desc_id", "copies"])
+    questions, _, terms = S.ask_once(t.supplier_queries())
+    hit = boolean_match(index.postings, terms, ["desc_id", "copies"])
     counts = hit.groupBy(F.col("query_id").alias("text_id")).agg(
         F.sum("copies").alias("items"), F.count(F.lit(1)).alias("descriptors"))
     return questions.select("query_id", "text_id").join(counts, "text_id").drop("text_id")
@@ -181,16 +179,17 @@ def p07(t):
 
 def text_scores(t: Tables):
     """Full-text scores per query: texts are scored once and handed to their queries."""
-    questions, texts = S.ask_once(t.supplier_queries())
-    scores = S.full_text_scores(saved_index(t), Terms.measure(query_terms(texts)))
+    questions, _, terms = S.ask_once(t.supplier_queries())
+    scores = S.full_text_scores(saved_index(t), terms).withColumnRenamed("query_id", "text_id")
     named = questions.select("query_id", "text_id")
-    return lookup_join(scores.withColumnRenamed("query_id", "text_id"), named, ["text_id"], spread_by=["desc_id"])
+    return lookup_join(scores, named, ["text_id"], spread_by=["desc_id"], fits=terms.small)
 
 
 def text_cosines(t: Tables):
-    questions, texts = S.ask_once(t.supplier_queries())
-    scores = S.sparse_scores(saved_index(t).vectors, texts).withColumnRenamed("query_id", "text_id")
-    return lookup_join(scores, questions.select("query_id", "text_id"), ["text_id"], spread_by=["desc_id"])
+    questions, texts, terms = S.ask_once(t.supplier_queries())
+    scores = S.sparse_scores(saved_index(t).vectors, texts, small=terms.small).withColumnRenamed("query_id", "text_id")
+    named = questions.select("query_id", "text_id")
+    return lookup_join(scores, named, ["text_id"], spread_by=["desc_id"], fits=terms.small)
 
 
 @query("g02_bm25_score", sql("ft_scores descs", """

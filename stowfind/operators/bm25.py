@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowfind.functions.text import query_terms, tokenize
-from stowfind.operators.joins import MAX_BYTES, MAX_ROWS, fits_broadcast, lookup_join, salted
+from stowfind.functions.text import ALIASES, query_terms, tokenize
+from stowfind.operators.joins import MAX_BYTES, MAX_ROWS, lookup_join
 from stowfind.operators.ordered import top_n
 
 # BM25 parameters and the floor for terms in most rows.
@@ -20,20 +20,39 @@ DIGITS = 12
 
 @dataclass
 class Terms:
-    """Query terms and whether they are measured small enough to broadcast."""
+    """Query terms and what one look at the queries tells about their size.
+
+    rows     query_id, n_groups, group_no, phrase_no, term, is_prefix, phrase
+    queries  number of queries
+    small    the terms certainly fit a broadcast
+    shortest length of the shortest prefix term
+    """
 
     rows: DataFrame
-    count: int
+    queries: int
     small: bool
+    shortest: int
 
     @classmethod
-    def measure(cls, terms: DataFrame) -> Terms:
-        """Measure in one job; reading stops one row past the limit."""
-        seen = terms.limit(MAX_ROWS + 1).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + 32).alias("bytes")).first()
-        small = seen["n"] <= MAX_ROWS and (seen["bytes"] or 0) <= MAX_BYTES
+    def of(cls, queries: DataFrame, texts: DataFrame | None = None,
+           aliases: dict[str, list[str]] = ALIASES) -> Terms:
+        """Terms of ``texts``, or of the queries; sizes are bounded from the queries in one job.
+
+        A token yields at most one term for itself and one per synonym.
+        """
+        tokens = queries.select(tokenize(F.col("query")).alias("t"), F.octet_length("query").alias("b"))
+        seen = tokens.limit(MAX_ROWS + 1).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("tokens"), F.sum("b").alias("bytes"),
+            F.min(F.length(F.try_element_at("t", F.lit(-1)))).alias("shortest")).first()
+        most = 1 + max((len(a) for a in aliases.values()), default=0)
+        small = (seen["tokens"] or 0) * most <= MAX_ROWS and (seen["bytes"] or 0) + 64 * (
+            seen["tokens"] or 0) * most <= MAX_BYTES
+        shortest = seen["shortest"] or 1
+        if seen["n"] > MAX_ROWS:
+            shortest = 1
+        rows = query_terms(queries if texts is None else texts, aliases)
         phrase = F.when(F.col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(F.col("term"))
-        return cls(terms.withColumn("phrase", phrase), seen["n"], small)
+        return cls(rows.withColumn("phrase", phrase), seen["n"], small, shortest)
 
 
 def postings(docs: DataFrame, keys: list[str], fields: dict[str, tuple[str, float]]) -> DataFrame:
@@ -56,31 +75,28 @@ def document_length(fields: dict[str, tuple[str, float]]) -> Column:
     return sum((F.size(c) for c, _ in fields.values()), F.lit(0))
 
 
-def phrase_tokens(vocabulary: DataFrame, terms: Terms) -> DataFrame:
-    """(phrase, token, lead): the vocabulary tokens of each distinct phrase.
+def phrase_hits(post: DataFrame, terms: Terms) -> DataFrame:
+    """Postings with the phrases they match, exactly or by prefix, as equi-joins.
 
-    Prefix phrases meet the vocabulary in an equi-join: every token is looked up
-    under its prefixes, but only those up to the longest prefix asked for. The
-    corpus itself is then joined on whole tokens only.
+    Each token is looked up as a whole, and under those of its prefixes whose
+    length some prefix term with the same beginning has; so a token costs a few
+    probes and no vocabulary pass is needed. The first character is part of the
+    key: it prunes partitions of saved postings.
     """
-    phrases = terms.rows.select("phrase", "term", "is_prefix").distinct()
-    plain = phrases.filter("not is_prefix").select("phrase", F.col("term").alias("token"))
-    asked = phrases.filter("is_prefix").select("phrase", F.col("term").alias("_key"))
-    longest = asked.agg(F.max(F.length("_key"))).scalar()
-    known = vocabulary.select("token").withColumn("_most", F.least(F.length("token"), longest))
-    looked_up = known.filter("_most > 0").select("token", F.explode(F.sequence(F.lit(1), F.col("_most"))).alias("_n"))
-    looked_up = looked_up.select("token", F.expr("substring(token, 1, _n)").alias("_key"))
-    found = lookup_join(looked_up, asked, ["_key"], fits=terms.small).select("phrase", "token")
-    return plain.unionByName(found).withColumn("lead", F.substring("token", 1, 1))
-
-
-def phrase_hits(post: DataFrame, vocabulary: DataFrame, terms: Terms) -> DataFrame:
-    """Postings with the phrases they match."""
-    wanted = phrase_tokens(vocabulary, terms)
-    if terms.small and fits_broadcast(wanted):
-        return post.join(F.broadcast(wanted), ["lead", "token"])
-    # A prefix may stand for very many tokens; then both sides are shuffled and salted.
-    return salted(post, wanted, ["lead", "token"], "inner", [c for c in post.columns if c not in ("lead", "token")])
+    k = terms.shortest
+    phrases = terms.rows.select(
+        "phrase", F.col("term").alias("_key"), F.substring("term", 1, 1).alias("lead"),
+        F.when(F.col("is_prefix"), F.length("term")).otherwise(0).alias("_len")).distinct()
+    starts = phrases.filter("_len > 0").groupBy(F.substring("_key", 1, k).alias("_start")).agg(
+        F.collect_set("_len").alias("_lengths"))
+    seen = post.withColumn("_start", F.substring("token", 1, k))
+    # Starts are at most as many as terms.
+    seen = lookup_join(seen, starts, ["_start"], "left", fits=terms.small)
+    lengths = F.coalesce(F.filter("_lengths", lambda n: n <= F.length("token")), F.array().cast("array<int>"))
+    seen = seen.select(*post.columns, F.explode(F.concat(F.array(F.lit(0)), lengths)).alias("_len"))
+    key = F.when(F.col("_len") == 0, F.col("token")).otherwise(F.expr("substring(token, 1, _len)"))
+    return lookup_join(seen.withColumn("_key", key), phrases, ["lead", "_len", "_key"],
+                       fits=terms.small).drop("_len", "_key")
 
 
 def corpus_stats(docs: DataFrame, doc_len: Column, copies: Column) -> DataFrame:
@@ -91,9 +107,9 @@ def corpus_stats(docs: DataFrame, doc_len: Column, copies: Column) -> DataFrame:
     )
 
 
-def boolean_match(post: DataFrame, vocabulary: DataFrame, terms: Terms, keys: list[str]) -> DataFrame:
+def boolean_match(post: DataFrame, terms: Terms, keys: list[str]) -> DataFrame:
     """(query_id, keys) of rows that match all groups of a query, unscored."""
-    hits = phrase_hits(post, vocabulary, terms).select("phrase", *keys).distinct()
+    hits = phrase_hits(post, terms).select("phrase", *keys).distinct()
     rows = terms.rows.select("phrase", "query_id", "n_groups", "group_no").distinct()
     groups = lookup_join(hits, rows, ["phrase"], fits=terms.small).select(
         "query_id", *keys, "n_groups", "group_no").distinct()
@@ -101,8 +117,7 @@ def boolean_match(post: DataFrame, vocabulary: DataFrame, terms: Terms, keys: li
     return whole.filter("count = n_groups").select("query_id", *keys)
 
 
-def bm25(post: DataFrame, vocabulary: DataFrame, stats: DataFrame, terms: Terms, keys: list[str],
-         copies: str | None = None) -> DataFrame:
+def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copies: str | None = None) -> DataFrame:
     """(query_id, keys, score) of rows that match all groups of a query; lower is better.
 
     A phrase is scored once per row, however many queries ask for it, and only
@@ -111,7 +126,7 @@ def bm25(post: DataFrame, vocabulary: DataFrame, stats: DataFrame, terms: Terms,
     aggregations by key reuse that partitioning.
     """
     extra = [copies] if copies else []
-    hits = phrase_hits(post, vocabulary, terms).repartition(*keys)
+    hits = phrase_hits(post, terms).repartition(*keys)
     per_phrase = hits.groupBy(*keys, "phrase", "doc_len", *extra).agg(F.sum("w").alias("f"))
     df = per_phrase.groupBy("phrase").agg(
         (F.sum(copies) if copies else F.count(F.lit(1))).cast("double").alias("df"))
@@ -132,10 +147,6 @@ def bm25(post: DataFrame, vocabulary: DataFrame, stats: DataFrame, terms: Terms,
         "query_id", *keys, F.round(-F.col("total"), DIGITS).alias("score"))
 
 
-def vocabulary_of(post: DataFrame) -> DataFrame:
-    return post.select("token").distinct()
-
-
 def text_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Plain texts as one-field documents."""
     return documents.select(key, tokenize(F.col(text)).alias("tokens"))
@@ -145,8 +156,7 @@ def rank_texts(documents: DataFrame, key: str, text: str, queries: DataFrame, n:
     """Best ``n`` texts per query by BM25: (query_id, key, score, rank)."""
     docs = text_documents(documents, key, text)
     fields = {"text": ("tokens", 1.0)}
-    terms = Terms.measure(query_terms(queries))
+    terms = Terms.of(queries)
     stats = corpus_stats(docs, document_length(fields), F.lit(1))
-    post = postings(docs, [key], fields)
-    scores = bm25(post, vocabulary_of(post), stats, terms, [key])
+    scores = bm25(postings(docs, [key], fields), stats, terms, [key])
     return top_n(scores, ["query_id"], [F.asc("score"), F.asc(key)], n)

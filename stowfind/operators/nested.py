@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowfind.operators.ordered import top_n
@@ -18,7 +18,8 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
 
     ``kind`` tells what the walk does with a node: ``open`` (replaced by its
     children), ``leaf``, or one of the truncating leaves ``depth``, ``cycle`` and
-    ``bad``. ``trail`` orders nodes the way the walk meets them.
+    ``bad``. ``trail`` orders nodes the way the walk meets them; ``siblings`` is
+    the number of children of the node's parent.
     """
     if not 1 <= max_depth <= 8:
         raise ValueError("max_depth must lie in 1..8")
@@ -42,19 +43,22 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     level = roots.join(families, "node_id", "left").select(
         "root_id", "node_id", F.lit(1).alias("depth"), F.array(step("label", "slot")).alias("path"),
         F.array(F.struct("slot", F.col("node_id").alias("id"))).alias("trail"),
-        F.array("fingerprint").alias("ancestors"), kind(1).alias("kind"))
+        F.array("fingerprint").alias("ancestors"), kind(1).alias("kind"),
+        F.lit(1).cast("long").alias("siblings"), "children")
     nodes = level
     for depth in range(2, max_depth + 1):
         opened = level.filter("kind = 'open'").select(
-            "root_id", F.col("node_id").alias("parent_id"), "path", "trail", "ancestors")
+            "root_id", F.col("node_id").alias("parent_id"), "path", "trail", "ancestors",
+            F.col("children").alias("siblings"))
         level = opened.join(kids, "parent_id").withColumn(
             "again", F.array_contains("ancestors", F.col("fingerprint"))).select(
             "root_id", F.col("child_id").alias("node_id"), F.lit(depth).alias("depth"),
             F.concat("path", F.array(step("label", "slot"))).alias("path"),
             F.concat("trail", F.array(F.struct("slot", F.col("child_id").alias("id")))).alias("trail"),
-            F.concat("ancestors", F.array("fingerprint")).alias("ancestors"), kind(depth).alias("kind"))
+            F.concat("ancestors", F.array("fingerprint")).alias("ancestors"), kind(depth).alias("kind"),
+            "siblings", "children")
         nodes = nodes.unionByName(level)
-    return nodes
+    return nodes.drop("children")
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -74,19 +78,21 @@ def coarsen(nodes: DataFrame, max_stacks: int = 4096) -> DataFrame:
     if not 1 <= max_stacks <= 16_384:
         raise ValueError("max_stacks must lie in 1..16384")
     visited = top_n(nodes, ["root_id"], [F.asc("trail")], max_stacks, "visit")
-    last = visited.groupBy("root_id").agg(F.max("trail").alias("last_trail"), F.count(F.lit(1)).alias("visited"))
-    parent = F.slice("trail", 1, F.col("depth") - 1)
-    cut = (
-        nodes.join(last.filter(F.col("visited") == max_stacks), "root_id")
-        .filter(F.col("trail") > F.col("last_trail"))
-        .withColumn("parent", parent)
-        .filter(F.col("parent") <= F.col("last_trail"))
-        .groupBy("root_id").agg(F.min_by("parent", F.size("parent")).alias("top"))
-    )
-    kept = visited.join(cut, "root_id", "left").join(last.select("root_id", "visited"), "root_id")
+    root = Window.partitionBy("root_id")
+    # The root's parent trail is empty and counts one sibling, itself.
+    visited = visited.withColumns({
+        "parent": F.slice("trail", 1, F.col("depth") - 1),
+        "visited": F.count(F.lit(1)).over(root),
+    })
+    seen = F.count(F.lit(1)).over(Window.partitionBy("root_id", "parent"))
+    last_open = (F.col("visit") == F.col("visited")) & (F.col("kind") == "open")
+    unfinished = F.when(seen < F.col("siblings"), F.col("parent")).when(last_open, F.col("trail"))
+    marked = visited.withColumn("unfinished", unfinished)
+    marked = marked.withColumn("top", F.min_by("unfinished", F.when(
+        F.col("unfinished").isNotNull(), F.size("unfinished"))).over(root))
     under = F.col("top").isNotNull() & (F.slice("trail", 1, F.size("top")) == F.col("top"))
     is_top = F.coalesce(F.col("trail") == F.col("top"), F.lit(False))
-    rows = kept.filter(is_top | ((F.col("kind") != "open") & ~F.coalesce(under, F.lit(False))))
+    rows = marked.filter(is_top | ((F.col("kind") != "open") & ~F.coalesce(under, F.lit(False))))
     return rows.select(
         "root_id", "node_id", "depth", "path", "visited",
         (is_top | (F.col("kind") != "leaf")).alias("truncated"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stowfind.functions.descriptor import FIELD_WEIGHTS, search_fields, semantic_hash, weighted_texts
 from stowfind.functions.spatial import cell
 from stowfind.functions.text import ALIASES, expand, tokenize
-from stowfind.operators.bm25 import corpus_stats, document_length, postings, vocabulary_of
+from stowfind.operators.bm25 import corpus_stats, document_length, postings
 from stowfind.operators.joins import lookup_join
 
 PLACE = ["world_id", "x", "y", "z", "cell_x", "cell_z", "block_type"]
@@ -73,7 +73,6 @@ class SearchIndex:
     items        item_id, container_id, path, amount, material_key, desc_id and place
     descriptors  desc_id, descriptor, copies
     postings     desc_id, copies, doc_len, token, lead, w
-    vocabulary   token
     vectors      desc_id, term, weight, norm, lead
     stats        one row: n_docs, avg_len
     cells        world_id, cell_x, cell_z, available
@@ -84,7 +83,6 @@ class SearchIndex:
     items: DataFrame
     descriptors: DataFrame
     postings: DataFrame
-    vocabulary: DataFrame
     vectors: DataFrame
     stats: DataFrame
     cells: DataFrame
@@ -110,8 +108,7 @@ class SearchIndex:
     def over(cls, items: DataFrame, descriptors: DataFrame, cells: DataFrame) -> SearchIndex:
         documents = search_documents(descriptors)
         stats = corpus_stats(documents, document_length(FIELDS), F.col("copies"))
-        post = descriptor_postings(documents)
-        return cls(items, descriptors, post, vocabulary_of(post), sparse_vectors(descriptors), stats, cells)
+        return cls(items, descriptors, descriptor_postings(documents), sparse_vectors(descriptors), stats, cells)
 
     def save(self, path: str) -> SearchIndex:
         """Write all tables and return the index that reads them.
@@ -139,13 +136,11 @@ class SearchIndex:
         text = SearchIndex.over(self.items, numbered.drop("desc_hash"), self.cells)
         put(text.vectors, "vectors", ["lead"], ["term"], ["lead"])
         put(text.postings, "postings", ["lead"], ["token"], ["lead"])
-        spark.read.parquet(f"{path}/postings").select("token").distinct().write.mode("overwrite").parquet(
-            f"{path}/vocabulary")
         text.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.cells.write.mode("overwrite").parquet(f"{path}/cells")
         return SearchIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchIndex:
-        names = ("items", "descriptors", "postings", "vocabulary", "vectors", "stats", "cells")
+        names = ("items", "descriptors", "postings", "vectors", "stats", "cells")
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in names))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowfind.functions.spatial import distance, query_cells, within
-from stowfind.functions.text import ALIASES, expand, query_terms, tokenize
+from stowfind.functions.text import ALIASES, expand, tokenize
 from stowfind.functions.vectors import dense_cosine, sparse_cosine
 from stowfind.operators import fusion
 from stowfind.operators.access import allowed
@@ -58,19 +58,20 @@ def window_candidates(items: DataFrame, cells: DataFrame, queries: DataFrame, po
 
 def full_text_scores(index: SearchIndex, terms: Terms) -> DataFrame:
     """BM25 of each distinct descriptor that matches a query; the corpus is the whole index."""
-    return bm25(index.postings, index.vocabulary, index.stats, terms, ["desc_id"], copies="copies")
+    return bm25(index.postings, index.stats, terms, ["desc_id"], copies="copies")
 
 
-def ask_once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queries with ``text_id``, distinct texts as queries).
+def ask_once(queries: DataFrame) -> tuple[DataFrame, DataFrame, Terms]:
+    """(queries with ``text_id``, distinct texts as queries, terms of the texts).
 
     Queries with the same tokens share their scores; a text is known by the
     smallest id of its queries.
     """
     said = queries.withColumn("_text", F.array_join(tokenize(F.col("query")), " "))
     texts = said.filter("_text <> ''").groupBy(F.col("_text").alias("query")).agg(F.min("query_id").alias("query_id"))
+    terms = Terms.of(queries, texts)
     named = texts.select(F.col("query").alias("_text"), F.col("query_id").alias("text_id"))
-    return lookup_join(said, named, ["_text"], spread_by=["query_id"]).drop("_text"), texts
+    return lookup_join(said, named, ["_text"], spread_by=["query_id"], fits=terms.small).drop("_text"), texts, terms
 
 
 def query_vectors(queries: DataFrame, aliases=ALIASES) -> DataFrame:
@@ -151,9 +152,8 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, policy: Policy = Polic
     ``item_vectors`` (desc_id, vector) and ``dense_queries`` (query_id, vector)
     are given.
     """
-    usable, texts = ask_once(queries)
-    terms = Terms.measure(query_terms(texts))
-    candidates = window_candidates(index.items, index.cells, usable, policy, usable.count())
+    usable, texts, terms = ask_once(queries)
+    candidates = window_candidates(index.items, index.cells, usable, policy, terms.queries)
     pair = ["text_id", "desc_id"]
     full_text = full_text_scores(index, terms).withColumnRenamed("query_id", "text_id")
     if item_vectors is None:

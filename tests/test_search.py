@@ -5,9 +5,8 @@ import pytest
 from helpers import containers, item, items
 from pyspark.sql import functions as F
 
-from stowfind.functions.text import query_terms
 from stowfind.operators import access as A
-from stowfind.operators.bm25 import Terms, bm25, corpus_stats, document_length, postings, vocabulary_of
+from stowfind.operators.bm25 import Terms, bm25, corpus_stats, document_length, postings
 from stowfind.plans.index import FIELDS, SearchIndex
 from stowfind.plans.search import hybrid_search
 from stowfind.schema import Policy, Settings
@@ -40,14 +39,13 @@ def test_bm25_equals_a_full_text_engine(spark):
 
     docs = spark.createDataFrame([(i, *[f.split() for f in r]) for i, r in enumerate(rows)],
                                  "id long, " + ", ".join(f"{f} array<string>" for f in fields))
-    terms = Terms.measure(query_terms(spark.createDataFrame(
-        [(k, v[0]) for k, v in asked.items()], "query_id long, query string")))
+    terms = Terms.of(spark.createDataFrame([(k, v[0]) for k, v in asked.items()], "query_id long, query string"))
     stats = corpus_stats(docs, document_length(FIELDS), F.lit(1))
     post = postings(docs, ["id"], FIELDS)
     for small in (True, False):
         terms.small = small
         found = {(r["query_id"], r["id"]): r["score"] for r in bm25(
-            post, vocabulary_of(post), stats, terms, ["id"]).collect()}
+            post, stats, terms, ["id"]).collect()}
         assert found.keys() == want.keys() and len(want) > 20
         assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
@@ -110,15 +108,15 @@ def test_shuffled_lookup_gives_the_same(spark, monkeypatch):
     rows = [(i, i % 7, i, 1, (GEM, ROCK)[i % 2]) for i in range(1, 40)]
     index, questions = world(spark, rows), ask(spark, "diamond", "granite gra")
     want = sorted(map(tuple, hybrid_search(index, questions).items.select("query_id", "item_id", "score").collect()))
-    measure = Terms.measure
+    build = Terms.of
     monkeypatch.setattr("stowfind.plans.search.MAX_ROWS", 0)
 
-    def never_small(terms):
-        measured = measure(terms)
+    def never_small(*args):
+        measured = build(*args)
         measured.small = False
         return measured
 
-    monkeypatch.setattr(Terms, "measure", never_small)
+    monkeypatch.setattr(Terms, "of", never_small)
     assert sorted(map(tuple, hybrid_search(index, questions).items.select("query_id", "item_id", "score").collect())) == want
 
 
