@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stowfind.functions.text import ALIASES, query_terms, tokenize
 from stowfind.operators.joins import MAX_BYTES, MAX_ROWS, lookup_join
 from stowfind.operators.ordered import top_n
+from stowfind.session import scratch, spread
 
 # BM25 parameters and the floor for terms in most rows.
 K1 = 1.2
@@ -92,8 +93,9 @@ def phrase_hits(post: DataFrame, terms: Terms) -> DataFrame:
     seen = post.withColumn("_start", F.substring("token", 1, k))
     # Starts are at most as many as terms.
     seen = lookup_join(seen, starts, ["_start"], "left", fits=terms.small)
-    lengths = F.coalesce(F.filter("_lengths", lambda n: n <= F.length("token")), F.array().cast("array<int>"))
-    seen = seen.select(*post.columns, F.explode(F.concat(F.array(F.lit(0)), lengths)).alias("_len"))
+    # A token shorter than the length asked for gives a key that no prefix term of that length has.
+    lengths = F.concat(F.array(F.lit(0)), F.coalesce("_lengths", F.array().cast("array<int>")))
+    seen = seen.select(*post.columns, F.explode(lengths).alias("_len"))
     key = F.when(F.col("_len") == 0, F.col("token")).otherwise(F.expr("substring(token, 1, _len)"))
     return lookup_join(seen.withColumn("_key", key), phrases, ["lead", "_len", "_key"],
                        fits=terms.small).drop("_len", "_key")
@@ -117,17 +119,22 @@ def boolean_match(post: DataFrame, terms: Terms, keys: list[str]) -> DataFrame:
     return whole.filter("count = n_groups").select("query_id", *keys)
 
 
-def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copies: str | None = None) -> DataFrame:
+def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copies: str | None = None,
+         write_hits: bool = False) -> DataFrame:
     """(query_id, keys, score) of rows that match all groups of a query; lower is better.
 
     A phrase is scored once per row, however many queries ask for it, and only
     then handed to its queries. ``copies`` names a column telling for how many
-    corpus rows a key stands. Hits of a key are brought together once; all
-    aggregations by key reuse that partitioning.
+    corpus rows a key stands. Occurrences add up before the shuffle; then all
+    rows of a key are brought together and the aggregations by key reuse that.
+    ``write_hits`` writes them to the shared folder, for postings that are costly
+    to derive and would be derived again for the document frequencies.
     """
     extra = [copies] if copies else []
-    hits = phrase_hits(post, terms).repartition(*keys)
-    per_phrase = hits.groupBy(*keys, "phrase", "doc_len", *extra).agg(F.sum("w").alias("f"))
+    hits = phrase_hits(post, terms)
+    per_phrase = hits.groupBy(*keys, "phrase", "doc_len", *extra).agg(F.sum("w").alias("f")).repartition(*keys)
+    if write_hits:
+        per_phrase = scratch(per_phrase, "hits")
     df = per_phrase.groupBy("phrase").agg(
         (F.sum(copies) if copies else F.count(F.lit(1))).cast("double").alias("df"))
     raw_idf = F.log((F.col("s.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -149,7 +156,7 @@ def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copie
 
 def text_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Plain texts as one-field documents."""
-    return documents.select(key, tokenize(F.col(text)).alias("tokens"))
+    return spread(documents.select(key, text), key).select(key, tokenize(F.col(text)).alias("tokens"))
 
 
 def rank_texts(documents: DataFrame, key: str, text: str, queries: DataFrame, n: int) -> DataFrame:
@@ -158,5 +165,5 @@ def rank_texts(documents: DataFrame, key: str, text: str, queries: DataFrame, n:
     fields = {"text": ("tokens", 1.0)}
     terms = Terms.of(queries)
     stats = corpus_stats(docs, document_length(fields), F.lit(1))
-    scores = bm25(postings(docs, [key], fields), stats, terms, [key])
+    scores = bm25(postings(docs, [key], fields), stats, terms, [key], write_hits=True)
     return top_n(scores, ["query_id"], [F.asc("score"), F.asc(key)], n)

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_ROWS = 500_000
+MAX_ROWS = 2_000_000
 MAX_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value: its length for text, all of it as JSON for nested types."""
+    kind = field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(field.name)))
+    return F.lit(8)
+
+
 def fits_broadcast(small: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
     """Measure a side; reading stops one row past the limit."""
-    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in small.columns])))
+    width = sum((_width(f) for f in small.schema.fields), F.lit(0))
     size = small.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 

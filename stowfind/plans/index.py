@@ -12,6 +12,7 @@ from stowfind.functions.spatial import cell
 from stowfind.functions.text import ALIASES, expand, tokenize
 from stowfind.operators.bm25 import corpus_stats, document_length, postings
 from stowfind.operators.joins import lookup_join
+from stowfind.session import spread
 
 PLACE = ["world_id", "x", "y", "z", "cell_x", "cell_z", "block_type"]
 
@@ -133,7 +134,8 @@ class SearchIndex:
         items = lookup_join(self.items.withColumnRenamed("desc_id", "desc_hash"), ids, ["desc_hash"],
                             spread_by=["item_id"]).drop("desc_hash")
         put(items, "items", ["world_id", "cell_x", "cell_z"], ["world_id", "cell_x", "cell_z"], [])
-        text = SearchIndex.over(self.items, numbered.drop("desc_hash"), self.cells)
+        known = spread(numbered.drop("desc_hash"), "desc_id")
+        text = SearchIndex.over(self.items, known, self.cells)
         put(text.vectors, "vectors", ["lead"], ["term"], ["lead"])
         put(text.postings, "postings", ["lead"], ["token"], ["lead"])
         text.stats.write.mode("overwrite").parquet(f"{path}/stats")

@@ -17,6 +17,7 @@ from stowfind.operators.joins import MAX_ROWS, lookup_join
 from stowfind.operators.ordered import top_n
 from stowfind.plans.index import SearchIndex
 from stowfind.schema import Policy
+from stowfind.session import scratch
 
 DIGITS = 12
 
@@ -147,27 +148,30 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, policy: Policy = Polic
                   dense_queries: DataFrame | None = None) -> SearchResult:
     """Full-text and semantic retrieval per query, fused and rolled up to containers.
 
-    Both retrievers score distinct texts against distinct descriptors and meet the items of a query's
-    window in a join on the descriptor. The semantic side is the sparse tag vector unless
+    Both retrievers score distinct texts against distinct descriptors. The scores
+    are written once, so that their size is known when they meet the items of a
+    query's window: small ones are broadcast and no item is shuffled, larger ones
+    join with salted keys. The semantic side is the sparse tag vector unless
     ``item_vectors`` (desc_id, vector) and ``dense_queries`` (query_id, vector)
     are given.
     """
     usable, texts, terms = ask_once(queries)
     candidates = window_candidates(index.items, index.cells, usable, policy, terms.queries)
     pair = ["text_id", "desc_id"]
-    full_text = full_text_scores(index, terms).withColumnRenamed("query_id", "text_id")
+    full_text = scratch(full_text_scores(index, terms).withColumnRenamed("query_id", "text_id"), "scores")
     if item_vectors is None:
         cosines = sparse_scores(index.vectors, texts, small=terms.small).withColumnRenamed("query_id", "text_id")
+        meet = pair
     else:
         # One cosine per distinct (query, descriptor) seen in a window.
-        pair_of_query = ["query_id", "desc_id"]
-        cosines = dense_scores(candidates.select(*pair_of_query).distinct(), item_vectors, dense_queries)
-    first = full_text_hits(candidates.join(full_text, pair), policy, decisions)
+        meet = ["query_id", "desc_id"]
+        cosines = dense_scores(candidates.select(*meet).distinct(), item_vectors, dense_queries)
+    cosines = scratch(cosines.filter(F.col("cosine") >= policy.min_score), "cosines")
+    first = full_text_hits(lookup_join(candidates, full_text, pair, spread_by=["item_id"]), policy, decisions)
     # Without a minimum, items that share no term still count with cosine 0.
     how = "inner" if policy.min_score > 0 else "left"
     near = candidates.filter(within(F.col("distance"), F.lit(policy.radius)))
-    scored = near.join(cosines, pair if item_vectors is None else pair_of_query, how)
-    second = semantic_hits(scored, policy, decisions)
+    second = semantic_hits(lookup_join(near, cosines, meet, how, spread_by=["item_id"]), policy, decisions)
     ranked = fusion.rank(fusion.fuse(first, second, policy))
     shown = F.col("root_rank") <= policy.max_results
     return SearchResult(

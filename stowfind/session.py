@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +25,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.extraJavaOptions", "-Xss8m")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -44,9 +46,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make ``DataFrame.checkpoint()`` write to the shared folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return spark
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and return the table: computed once, with known size."""
+    path = f"{shared_folder(df.sparkSession)}/stowfind-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a table of fewer files than cores, whose tasks would leave cores idle.
+
+    Large tables have many files and stay as they are read.
+    """
+    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df

@@ -11,7 +11,7 @@ from stowfind.functions.descriptor import descriptor, semantic_hash
 from stowfind.functions.spatial import cell
 from stowfind.operators.ordered import running_count
 from stowfind.plans.index import SearchIndex
-from stowfind.session import shared_folder
+from stowfind.session import shared_folder, spread
 
 
 # Rows of one group that a single task may sort.
@@ -56,7 +56,7 @@ class Tables:
             metadata=F.create_map(F.lit("size"), size.cast("string")),
             tags=F.array("p_brand"),
         )
-        return self.read("part").select("p_partkey", d.alias("descriptor")).withColumn(
+        return spread(self.read("part"), "p_partkey").select("p_partkey", d.alias("descriptor")).withColumn(
             "desc_hash", semantic_hash(F.col("descriptor")))
 
     def numbered_lines(self) -> DataFrame:
