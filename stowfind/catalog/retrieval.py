@@ -187,7 +187,7 @@ def text_scores(t: Tables):
 
 def text_cosines(t: Tables):
     questions, texts, terms = S.ask_once(t.supplier_queries())
-    scores = S.sparse_scores(saved_index(t).vectors, texts, small=terms.small).withColumnRenamed("query_id", "text_id")
+    scores = S.sparse_scores(terms.prune(saved_index(t).vectors), texts, small=terms.small).withColumnRenamed("query_id", "text_id")
     named = questions.select("query_id", "text_id")
     return lookup_join(scores, named, ["text_id"], spread_by=["desc_id"], fits=terms.small)
 

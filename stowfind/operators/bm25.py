@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowfind.functions.text import ALIASES, query_terms, tokenize
+from stowfind.functions.text import ALIASES, expand, query_terms, tokenize
 from stowfind.operators.joins import MAX_BYTES, MAX_ROWS, lookup_join
 from stowfind.operators.ordered import top_n
 from stowfind.session import scratch, spread
@@ -17,6 +17,8 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 DIGITS = 12
+# All characters a token can start with.
+LEADS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass
@@ -27,12 +29,18 @@ class Terms:
     queries  number of queries
     small    the terms certainly fit a broadcast
     shortest length of the shortest prefix term
+    leads    first characters of all terms; NULL when there were too many queries to look at
     """
 
     rows: DataFrame
     queries: int
     small: bool
     shortest: int
+    leads: list[str] | None
+
+    def prune(self, table: DataFrame) -> DataFrame:
+        """Rows with a first character that occurs; a partition filter on saved tables."""
+        return table if self.leads is None else table.filter(F.col("lead").isin(self.leads))
 
     @classmethod
     def of(cls, queries: DataFrame, texts: DataFrame | None = None,
@@ -42,18 +50,25 @@ class Terms:
         A token yields at most one term for itself and one per synonym.
         """
         tokens = queries.select(tokenize(F.col("query")).alias("t"), F.octet_length("query").alias("b"))
+
+        def add(mask: Column, token: Column) -> Column:
+            place = F.call_function("instr", F.lit(LEADS), F.substring(token, 1, 1))
+            return mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place - 1))
+
+        mask = F.aggregate(expand(F.col("t"), aliases), F.lit(0).cast("long"), add)
         seen = tokens.limit(MAX_ROWS + 1).agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("tokens"), F.sum("b").alias("bytes"),
-            F.min(F.length(F.try_element_at("t", F.lit(-1)))).alias("shortest")).first()
+            F.bit_or(mask).alias("mask"), F.min(F.length(F.try_element_at("t", F.lit(-1)))).alias("shortest")).first()
         most = 1 + max((len(a) for a in aliases.values()), default=0)
         small = (seen["tokens"] or 0) * most <= MAX_ROWS and (seen["bytes"] or 0) + 64 * (
             seen["tokens"] or 0) * most <= MAX_BYTES
         shortest = seen["shortest"] or 1
+        leads = [c for i, c in enumerate(LEADS) if (seen["mask"] or 0) >> i & 1]
         if seen["n"] > MAX_ROWS:
-            shortest = 1
+            shortest, leads = 1, None
         rows = query_terms(queries if texts is None else texts, aliases)
         phrase = F.when(F.col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(F.col("term"))
-        return cls(rows.withColumn("phrase", phrase), seen["n"], small, shortest)
+        return cls(rows.withColumn("phrase", phrase), seen["n"], small, shortest, leads)
 
 
 def postings(docs: DataFrame, keys: list[str], fields: dict[str, tuple[str, float]]) -> DataFrame:
@@ -81,8 +96,7 @@ def phrase_hits(post: DataFrame, terms: Terms) -> DataFrame:
 
     Each token is looked up as a whole, and under those of its prefixes whose
     length some prefix term with the same beginning has; so a token costs a few
-    probes and no vocabulary pass is needed. The first character is part of the
-    key: it prunes partitions of saved postings.
+    probes and no vocabulary pass is needed.
     """
     k = terms.shortest
     phrases = terms.rows.select(
@@ -90,7 +104,7 @@ def phrase_hits(post: DataFrame, terms: Terms) -> DataFrame:
         F.when(F.col("is_prefix"), F.length("term")).otherwise(0).alias("_len")).distinct()
     starts = phrases.filter("_len > 0").groupBy(F.substring("_key", 1, k).alias("_start")).agg(
         F.collect_set("_len").alias("_lengths"))
-    seen = post.withColumn("_start", F.substring("token", 1, k))
+    seen = terms.prune(post).withColumn("_start", F.substring("token", 1, k))
     # Starts are at most as many as terms.
     seen = lookup_join(seen, starts, ["_start"], "left", fits=terms.small)
     # A token shorter than the length asked for gives a key that no prefix term of that length has.

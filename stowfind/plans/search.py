@@ -160,7 +160,7 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, policy: Policy = Polic
     pair = ["text_id", "desc_id"]
     full_text = scratch(full_text_scores(index, terms).withColumnRenamed("query_id", "text_id"), "scores")
     if item_vectors is None:
-        cosines = sparse_scores(index.vectors, texts, small=terms.small).withColumnRenamed("query_id", "text_id")
+        cosines = sparse_scores(terms.prune(index.vectors), texts, small=terms.small).withColumnRenamed("query_id", "text_id")
         meet = pair
     else:
         # One cosine per distinct (query, descriptor) seen in a window.

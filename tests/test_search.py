@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stowfind.operators import access as A
 from stowfind.operators.bm25 import Terms, bm25, corpus_stats, document_length, postings
 from stowfind.plans.index import FIELDS, SearchIndex
-from stowfind.plans.search import hybrid_search
+from stowfind.plans.search import ask_once, full_text_scores, hybrid_search, sparse_scores
 from stowfind.schema import Policy, Settings
 from stowfind.sources.tables import Tables, saved_index
 
@@ -154,8 +154,14 @@ def test_plans(spark, small):
     text = plan(found.items)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "WindowGroupLimit" in text
-    assert "dynamicpruning" in text
-    saved = saved_index(tables).items
+    _, texts, terms = ask_once(tables.queries())
+    assert terms.leads == ["b", "d", "g", "m", "p", "r", "s", "u", "w"] and terms.small and terms.shortest == 3
+    index = saved_index(tables)
+    for scores in (full_text_scores(index, terms), sparse_scores(terms.prune(index.vectors), texts)):
+        text = plan(scores)
+        assert "PartitionFilters: [lead" in text and "CartesianProduct" not in text
+        assert "BroadcastNestedLoopJoin" not in text
+    saved = index.items
     assert "PushedFilters: [IsNotNull(world_id)" in plan(find_root(saved, "O", 1, 64, 1))
 
 
