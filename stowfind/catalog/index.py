@@ -245,9 +245,9 @@ def t12(t):
     return M.cell_readiness(cells, pending).select("world_id", "cell_x", "cell_z", "pending", "ready")
 
 
-@query("x01_distinct_descriptors", sql("items", """
+@query("g07_distinct_descriptors", sql("items", """
     SELECT CAST(count(*) AS BIGINT) AS descriptors, CAST(sum(copies) AS BIGINT) AS items
     FROM (SELECT d, count(*) AS copies FROM items GROUP BY d)"""))
-def x01(t):
+def g07_distinct(t):
     return distinct_descriptors(t.slim_items(), t.parts()).agg(
         F.count(F.lit(1)).alias("descriptors"), F.sum("copies").alias("items"))
