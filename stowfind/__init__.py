@@ -4,3 +4,10 @@ Queries, items, containers and changes are DataFrames; every operator takes
 DataFrames and returns a lazy DataFrame.
 """
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -161,7 +161,8 @@ class Tables:
 
 def epoch_ms(ts):
     """Milliseconds of a zone-less timestamp since 1970, whatever the session zone."""
-    return F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts) / 1000)
+    instant = F.concat(ts.cast("string"), F.lit("Z")).cast("timestamp")
+    return F.floor(F.unix_micros(instant) / 1000)
 
 
 _saved: dict[tuple[str, str], SearchIndex] = {}
