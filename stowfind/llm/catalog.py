@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowfind.llm.common import table
+from stowfind.llm.licenses import license_scan
 from stowfind.llm.packing import pack_documents
+from stowfind.llm.quality import quality_scores
 from stowfind.llm.simhash import simhash_components
 from stowfind.llm.tokens import token_counts
+from stowfind.llm.urls import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +41,18 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents")).drop("places")
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_verdicts(table(spark, folder, "pages"))
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
