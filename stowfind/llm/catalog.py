@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowfind.llm.common import table
+from stowfind.llm.embeddings import vector_links
 from stowfind.llm.licenses import license_scan
+from stowfind.llm.lines import line_dedup
 from stowfind.llm.packing import pack_documents
 from stowfind.llm.quality import quality_scores
 from stowfind.llm.simhash import simhash_components
@@ -56,3 +58,16 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op3_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"),
+                       F.col("__n_removed_lines").alias("n_removed_lines"),
+                       F.col("__n_removed_chunks").alias("n_removed_chunks"), "text")
