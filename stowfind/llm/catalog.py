@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowfind.llm.common import table
+from stowfind.llm.decontamination import contaminated
 from stowfind.llm.embeddings import vector_links
 from stowfind.llm.licenses import license_scan
 from stowfind.llm.lines import line_dedup
@@ -71,3 +72,8 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"),
                        F.col("__n_removed_lines").alias("n_removed_lines"),
                        F.col("__n_removed_chunks").alias("n_removed_chunks"), "text")
+
+
+@query
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
