@@ -15,6 +15,7 @@ from stowfind.llm.lines import line_dedup
 from stowfind.llm.packing import pack_documents
 from stowfind.llm.quality import quality_scores
 from stowfind.llm.simhash import simhash_components
+from stowfind.llm.substrings import repeats_removed
 from stowfind.llm.tokens import token_counts
 from stowfind.llm.urls import url_verdicts
 
@@ -77,3 +78,9 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op6_repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = repeats_removed(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
