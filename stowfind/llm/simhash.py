@@ -82,7 +82,8 @@ def linked(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
         active = active[key[active] == key[active + lag]]
         if not len(active):
             break
-        i = active[np.bitwise_count(fp[active] ^ fp[active + lag]) <= distance]
+        differ = (fp[active] ^ fp[active + lag]).view(np.uint64)  # signed numbers would be counted by their size
+        i = active[np.bitwise_count(differ) <= distance]
         j = i + lag
         while len(i):
             a, b = parent[i], parent[j]
