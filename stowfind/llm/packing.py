@@ -51,7 +51,11 @@ def fill_patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int,
             while heap and not open_packs[heap[0]]:
                 heapq.heappop(heap)
             if not heap or heap[0] + length > size:
-                put(length, (length,), left)
+                # A new pattern is the shortest there is, so pieces of this length go on it until it is full.
+                most = size // length
+                for copies, count in ((most, left // most), (left % most, 1)):
+                    if copies and count:
+                        put(copies * length, (length,) * copies, count)
                 break
             total = heap[0]
             lengths, count = next(iter(open_packs[total].items()))
