@@ -52,9 +52,9 @@ def occurrences(text: Column, what: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits for each character of a text."""
-    n = F.length(text).cast("double")
+    n = F.greatest(F.length(text), F.lit(1)).cast("double")
     letters = F.array_distinct(F.split(text, ""))
-    shares = F.transform(letters, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    shares = F.transform(letters, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.coalesce(F.aggregate(shares, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0)),
                       F.lit(0.0))
 
