@@ -228,9 +228,10 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(data)
     words = words_at(data, ">u8").astype(np.uint64)
-    order = np.argsort(words, kind="stable").astype(np.int64)
-    new = np.append(True, words[order[1:]] != words[order[:-1]])
-    # Places near the end read zeros; shorter suffixes come first among equals.
+    # Places near the end read zeros, so the shorter of equal numbers comes first.
+    order = n - 1 - np.argsort(words[::-1], kind="stable").astype(np.int64)
+    left = np.minimum(n - order, 8)
+    new = np.append(True, (words[order[1:]] != words[order[:-1]]) | (left[1:] != left[:-1]))
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     heads = np.flatnonzero(new)
