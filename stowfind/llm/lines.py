@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from stowfind.session import scratch
 
 BIGGEST = (1 << 63) - 1
-# Pairs of a document and a removed chunk that may be broadcast.
-SMALL_ROWS = 50_000
 
 
 def cuts(lines: Column) -> Column:
@@ -84,8 +82,6 @@ def line_dedup(docs: DataFrame, least_lines: int = 2, id_column: str = "doc_id",
     """``docs`` with shortened texts and ``__n_lines``, ``__n_removed_lines``, ``__n_removed_chunks``."""
     gone = scratch(removals(docs, least_lines, id_column, text), "removed-chunks")
     gone = gone.withColumnRenamed("__doc", "__gone_doc")
-    size = gone.agg(F.sum(F.size("__all") + F.size("__later") + 1)).first()[0] or 0
-    gone = F.broadcast(gone) if size <= SMALL_ROWS else gone
     rows = chunked(docs, text).withColumn("__hashes", F.col("__chunks.hash"))
     rows = rows.join(gone, rows[id_column].eqNullSafe(gone["__gone_doc"]), "left").drop("__gone_doc")
     kept = F.filter("__chunks", lambda c, i: (c["filled"] < least_lines) | ~(
