@@ -81,7 +81,8 @@ def removals(docs: DataFrame, least_lines: int, id_column: str, text: str) -> Da
 def line_dedup(docs: DataFrame, least_lines: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with shortened texts and ``__n_lines``, ``__n_removed_lines``, ``__n_removed_chunks``."""
     gone = scratch(removals(docs, least_lines, id_column, text), "removed-chunks")
-    gone = gone.withColumnRenamed("__doc", "__gone_doc")
+    # What goes grows with the documents, so both are dealt out by document at every size.
+    gone = gone.withColumnRenamed("__doc", "__gone_doc").hint("merge")
     rows = chunked(docs, text).withColumn("__hashes", F.col("__chunks.hash"))
     rows = rows.join(gone, rows[id_column].eqNullSafe(gone["__gone_doc"]), "left").drop("__gone_doc")
     kept = F.filter("__chunks", lambda c, i: (c["filled"] < least_lines) | ~(
