@@ -76,7 +76,7 @@ PARTS: dict[str, tuple[str, str]] = {
                                        l_extendedprice, l_quantity) AS INT) AS slot
         FROM lineitem"""),
     "items": ("lines parts", """
-        SELECT l_orderkey * 100 + slot AS item_id, l_orderkey AS container_id, o_orderpriority AS label, slot,
+        SELECT l_orderkey * 1048576 + slot AS item_id, l_orderkey AS container_id, o_orderpriority AS label, slot,
                amount, d, material AS material_key
         FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN parts ON l_partkey = p_partkey"""),
     "ditems": ("items placed", """

@@ -193,9 +193,11 @@ def p10(t):
 # Pages and orders.
 
 @query("l03_keyset_page", sql("containers", """
-    SELECT container_id FROM containers WHERE (x, y, z) > (0, 64, 0) ORDER BY x, y, z, container_id LIMIT 129"""))
+    SELECT container_id FROM containers WHERE (x, y, z, world_id, container_id) > (0, 64, 0, 'F', 0)
+    ORDER BY x, y, z, world_id, container_id LIMIT 129"""))
 def l03(t):
-    return page(t.containers(), ["x", "y", "z"], 128, (0, 64, 0)).select("container_id")
+    order = ["x", "y", "z", "world_id", "container_id"]
+    return page(t.containers(), order, 128, (0, 64, 0, "F", 0)).select("container_id")
 
 
 @query("l04_latest_history", sql("history", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stowfind.catalog.base import query, sql
 from stowfind.functions.text import title_name
 from stowfind.operators import nested as N
-from stowfind.sources.tables import Tables
+from stowfind.sources.tables import Tables, line_id
 
 
 def hierarchy(t: Tables):
@@ -37,7 +37,7 @@ def hierarchy(t: Tables):
                     F.when(ckey % 50 == 0, name("n", "c_nationkey")).otherwise(name("c", "c_custkey")))
     order = edge(t.read("orders"), name("c", "o_custkey"), name("o", "o_orderkey"), "order", okey,
                  F.when(okey % 40 == 0, name("c", "o_custkey")).otherwise(name("o", "o_orderkey")))
-    lines = t.numbered_lines().withColumn("line_id", F.col("l_orderkey") * 100 + F.col("slot"))
+    lines = t.numbered_lines().withColumn("line_id", line_id(F.col("l_orderkey"), F.col("slot")))
     line = edge(lines, name("o", "l_orderkey"), name("l", "line_id"), "line", F.col("slot"),
                 bad=(F.col("l_orderkey") % 97 == 0) & (F.col("slot") == 1))
     return roots, nation.unionByName(customer).unionByName(order).unionByName(line)
@@ -51,8 +51,8 @@ _TREE = {
                CASE WHEN c_custkey % 50 = 0 THEN 'n' || c_nationkey ELSE 'c' || c_custkey END, false FROM customer
         UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'order', o_orderkey,
                CASE WHEN o_orderkey % 40 = 0 THEN 'c' || o_custkey ELSE 'o' || o_orderkey END, false FROM orders
-        UNION ALL SELECT 'o' || l_orderkey, 'l' || (l_orderkey * 100 + slot), 'line', slot,
-               'l' || (l_orderkey * 100 + slot), l_orderkey % 97 = 0 AND slot = 1 FROM lines"""),
+        UNION ALL SELECT 'o' || l_orderkey, 'l' || (l_orderkey * 1048576 + slot), 'line', slot,
+               'l' || (l_orderkey * 1048576 + slot), l_orderkey % 97 = 0 AND slot = 1 FROM lines"""),
     "families": ("edges", "SELECT parent_id AS id, bool_or(bad) AS bad FROM edges GROUP BY parent_id"),
 }
 

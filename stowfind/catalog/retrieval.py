@@ -12,7 +12,7 @@ from stowfind.operators.access import allowed, denied
 from stowfind.operators.bm25 import boolean_match, rank_texts
 from stowfind.operators.dense import dense_top_k, mean_pool
 from stowfind.operators.joins import lookup_join
-from stowfind.operators.ordered import top_n
+from stowfind.operators.ordered import running_count
 from stowfind.plans import search as S
 from stowfind.plans.index import placed
 from stowfind.schema import Policy
@@ -182,14 +182,14 @@ def text_scores(t: Tables):
     questions, _, terms = S.ask_once(t.supplier_queries())
     scores = S.full_text_scores(saved_index(t), terms).withColumnRenamed("query_id", "text_id")
     named = questions.select("query_id", "text_id")
-    return lookup_join(scores, named, ["text_id"], spread_by=["desc_id"], fits=terms.small)
+    return lookup_join(scores, named, ["text_id"], fits=terms.small)
 
 
 def text_cosines(t: Tables):
     questions, texts, terms = S.ask_once(t.supplier_queries())
     scores = S.sparse_scores(terms.prune(saved_index(t).vectors), texts, small=terms.small).withColumnRenamed("query_id", "text_id")
     named = questions.select("query_id", "text_id")
-    return lookup_join(scores, named, ["text_id"], spread_by=["desc_id"], fits=terms.small)
+    return lookup_join(scores, named, ["text_id"], fits=terms.small)
 
 
 @query("g02_bm25_score", sql("ft_scores descs", """
@@ -323,7 +323,7 @@ def j08(t):
 def v04(t):
     vectors = t.read("embeddings")
     first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("other"))
-    return vectors.join(F.broadcast(first), "label").select(
+    return lookup_join(vectors, first, ["label"]).select(
         "vec_id", F.round(V.dense_cosine("embedding", "other"), 6).alias("cosine"))
 
 
@@ -380,9 +380,11 @@ _TWO = {"two": ("lines", """
 
 def two_lists(t: Tables):
     lines = t.numbered_lines().select(F.col("l_orderkey").alias("query_id"), "slot", "amount")
-    left = top_n(lines.filter("slot % 3 <> 0"), ["query_id"], [F.desc("amount"), F.asc("slot")], 256, "ft_rank")
-    right = top_n(lines.filter("slot % 2 = 0"), ["query_id"], [F.asc("amount"), F.asc("slot")], 256, "sem_rank")
-    return left.drop("amount"), right.drop("amount")
+    # Ranks of whole lists: amounts are the chunks, so an order with very many lines is not in one task.
+    left = running_count(lines.filter("slot % 3 <> 0").withColumn("down", -F.col("amount")), ["query_id"],
+                         ["down", "slot"], F.col("down"), "ft_rank")
+    right = running_count(lines.filter("slot % 2 = 0"), ["query_id"], ["amount", "slot"], F.col("amount"), "sem_rank")
+    return left.drop("amount", "down"), right.drop("amount")
 
 
 @query("v06_rank_fusion", sql("two", """

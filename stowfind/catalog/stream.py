@@ -110,7 +110,10 @@ def event_stream(t: Tables):
     SELECT b.* FROM bursts b, (SELECT max({EPOCH_MS}) - {STREAM_LATE} AS mark FROM events)
     WHERE (claim_tick + 1) * {STREAM_TICK} <= mark""", _BURSTS))
 def t02_stream(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A session of its own, as the state store is a setting.
+    own = t.spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    t = Tables(own, t.folder)
     place = f"{shared_folder(t.spark)}/stowfind-stream-{uuid.uuid4().hex}"
     bursts = coalesce_stream(event_stream(t), STREAM_TICK, f"{STREAM_LATE} milliseconds")
     return run_to_table(bursts, f"{place}/out", f"{place}/checkpoint")

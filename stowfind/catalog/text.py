@@ -114,12 +114,16 @@ def f06(t):
         "conv_id", "turn", F.md5(F.coalesce(T.normalize_query(F.col("text")), F.lit(""))).alias("text_md5"))
 
 
-@query("f07_embedding_text", sql("parts", """
-    SELECT p_partkey, md5('material: ' || material || chr(10) || 'display: ' || p_name || chr(10)
+# The text of a part's descriptor, all its fields.
+_EMBEDDED = """'material: ' || material || chr(10) || 'display: ' || p_name || chr(10)
         || CASE WHEN has_lore THEN 'lore: made of ' || p_brand || chr(10) ELSE '' END
         || CASE WHEN has_ench THEN 'enchantment: mending' || chr(10) ELSE '' END
         || 'attribute: weight=' || p_size || '.0' || chr(10) || 'trait: ' || p_type || chr(10)
-        || 'metadata: size=' || p_size || chr(10) || 'tag: ' || p_brand || chr(10)) AS text_md5 FROM parts"""))
+        || 'metadata: size=' || p_size || chr(10) || 'tag: ' || p_brand || chr(10)"""
+
+
+@query("f07_embedding_text", sql("parts", f"""
+    SELECT p_partkey, md5({_EMBEDDED}) AS text_md5 FROM parts"""))
 def f07(t):
     return t.parts().select("p_partkey", F.md5(T.embedding_text(F.col("descriptor"))).alias("text_md5"))
 
@@ -149,16 +153,17 @@ def f09(t):
 
 
 def _piece(i: int) -> str:
-    return f"CAST(sum(CAST(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+    return f"CAST(sum(CAST(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)"
 
 
-@query("f10_content_fingerprint", sql("items", f"""
+@query("f10_content_fingerprint", sql("items parts", f"""
     SELECT container_id, count(*) AS slots,
            sha256(concat_ws('|', count(*), {', '.join(_piece(i) for i in range(4))})) AS fingerprint
-    FROM (SELECT container_id, sha256(slot || '|' || material_key || ' x' || amount) AS h FROM items)
+    FROM (SELECT container_id, sha256(slot || '|' || body || ' x' || amount) AS h
+          FROM items JOIN (SELECT DISTINCT d, md5({_EMBEDDED}) AS body FROM parts) USING (d))
     GROUP BY container_id"""))
 def f10(t):
-    payload = F.concat(F.col("descriptor.material_key"), F.lit(" x"), F.col("amount").cast("string"))
+    payload = F.concat(F.md5(T.embedding_text(F.col("descriptor"))), F.lit(" x"), F.col("amount").cast("string"))
     return D.content_fingerprint(t.items(), "container_id", F.col("path")[0]["slot"], payload)
 
 

@@ -169,10 +169,10 @@ DIGEST_PIECES = ("h1", "h2", "h3", "h4")
 
 
 def content_digest_columns(slot: Column, payload: Column) -> list[Column]:
-    """Four 60-bit pieces of the slot hash, to be summed per container."""
+    """Four 64-bit pieces of the slot hash, all of it, to be summed per container."""
     digest = F.sha2(F.concat_ws("|", slot.cast("string"), payload), 256)
     return [
-        F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)").alias(name)
+        F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)").alias(name)
         for i, name in enumerate(DIGEST_PIECES)
     ]
 

@@ -35,7 +35,7 @@ def rrf_display(k: int, full_text_rank: Column, semantic_rank: Column) -> Column
 
 @F.pandas_udf(DoubleType())
 def dense_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Cosine of paired dense vectors in doubles, in -1..1; zero vectors score 0."""
+    """Cosine of paired dense vectors in doubles, in -1..1; zero vectors score 0, corrupt ones fail."""
     if len(left) == 0:
         return pd.Series([], dtype="float64")
     sizes = left.map(len).to_numpy()
@@ -46,6 +46,8 @@ def dense_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
         rows = np.flatnonzero(sizes == size)
         a = np.stack(left.iloc[rows].to_list()).astype("float64")
         b = np.stack(right.iloc[rows].to_list()).astype("float64")
+        if not (np.isfinite(a).all() and np.isfinite(b).all()):
+            raise ValueError("a vector holds a value that is not finite")
         norms = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
         dots = (a * b).sum(1)
         result[rows] = np.clip(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), -1, 1)

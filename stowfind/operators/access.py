@@ -11,12 +11,13 @@ ALLOWING = ("ALLOW", "NOT_APPLICABLE")
 def denied(decisions: DataFrame) -> DataFrame:
     """(player_id, container_id) pairs that some provider denies; NULL or unknown denies."""
     closed = F.col("decision").isNull() | ~F.col("decision").isin(*ALLOWING)
-    return decisions.filter(closed).select("player_id", "container_id").distinct()
+    return decisions.filter(closed).select("player_id", "container_id")
 
 
 def allowed(hits: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Drop hits that any provider denies; no decision at all means allowed."""
-    return hits.join(denied(decisions), ["player_id", "container_id"], "left_anti")
+    """Drop hits that any provider denies; no decision at all means allowed, an unknown player or place is not."""
+    known = hits.filter(F.col("player_id").isNotNull() & F.col("container_id").isNotNull())
+    return known.join(denied(decisions), ["player_id", "container_id"], "left_anti")
 
 
 def fresh(hits: DataFrame, current: DataFrame) -> DataFrame:

@@ -29,18 +29,18 @@ class Terms:
     queries  number of queries
     small    the terms certainly fit a broadcast
     shortest length of the shortest prefix term
-    leads    first characters of all terms; NULL when there were too many queries to look at
+    leads    first characters of all terms
     """
 
     rows: DataFrame
     queries: int
     small: bool
     shortest: int
-    leads: list[str] | None
+    leads: list[str]
 
     def prune(self, table: DataFrame) -> DataFrame:
         """Rows with a first character that occurs; a partition filter on saved tables."""
-        return table if self.leads is None else table.filter(F.col("lead").isin(self.leads))
+        return table.filter(F.col("lead").isin(self.leads))
 
     @classmethod
     def of(cls, queries: DataFrame, texts: DataFrame | None = None,
@@ -56,7 +56,7 @@ class Terms:
             return mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place - 1))
 
         mask = F.aggregate(expand(F.col("t"), aliases), F.lit(0).cast("long"), add)
-        seen = tokens.limit(MAX_ROWS + 1).agg(
+        seen = tokens.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("tokens"), F.sum("b").alias("bytes"),
             F.bit_or(mask).alias("mask"), F.min(F.length(F.try_element_at("t", F.lit(-1)))).alias("shortest")).first()
         most = 1 + max((len(a) for a in aliases.values()), default=0)
@@ -64,8 +64,6 @@ class Terms:
             seen["tokens"] or 0) * most <= MAX_BYTES
         shortest = seen["shortest"] or 1
         leads = [c for i, c in enumerate(LEADS) if (seen["mask"] or 0) >> i & 1]
-        if seen["n"] > MAX_ROWS:
-            shortest, leads = 1, None
         rows = query_terms(queries if texts is None else texts, aliases)
         phrase = F.when(F.col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(F.col("term"))
         return cls(rows.withColumn("phrase", phrase), seen["n"], small, shortest, leads)
@@ -160,7 +158,7 @@ def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copie
     f, length = F.col("f"), F.col("doc_len")
     part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("avg_len")))
     # As many rows as there are terms, so as bounded as these.
-    by_group = lookup_join(per_phrase, asked, ["phrase"], spread_by=keys, fits=terms.small).groupBy(
+    by_group = lookup_join(per_phrase, asked, ["phrase"], fits=terms.small).groupBy(
         "query_id", *keys, "n_groups", "group_no").agg(F.sum(part).alias("part"))
     scored = by_group.groupBy("query_id", *keys, "n_groups").agg(
         F.sum("part").alias("total"), F.count(F.lit(1)).alias("matched"))

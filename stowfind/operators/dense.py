@@ -58,6 +58,8 @@ def _block_top_k(vectors, shared, k, min_score, key, vector):
             m = np.stack(batch[vector].to_list()).astype("float64")
             if m.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors of {m.shape[1]} against queries of {q.shape[1]} dimensions")
+            if not np.isfinite(m).all():
+                raise ValueError("a vector holds a value that is not finite")
             norms = np.outer(q_norm, np.sqrt((m * m).sum(1)))
             dots = q @ m.T
             scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 MAX_ROWS = 2_000_000
 MAX_BYTES = 64 * 1024 * 1024
-SALTS = 16
 
 
 def _width(field: T.StructField) -> Column:
@@ -17,34 +16,25 @@ def _width(field: T.StructField) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.octet_length(F.to_json(F.struct(field.name)))
+        return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
     return F.lit(8)
 
 
-def fits_broadcast(small: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Measure a side; reading stops one row past the limit."""
+def fits_broadcast(small: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Measure a side in one job; rows and bytes add up in the tasks that read it."""
     width = sum((_width(f) for f in small.schema.fields), F.lit(0))
-    size = small.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
-
-
-def salted(big: DataFrame, small: DataFrame, on: list[str], how: str, spread_by: list[str],
-           salts: int = SALTS) -> DataFrame:
-    """Shuffle join whose hot keys are spread over ``salts`` tasks."""
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    size = small.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("b")).first()
+    return size["n"] <= (MAX_ROWS if max_rows is None else max_rows) and (size["b"] or 0) <= (
+        MAX_BYTES if max_bytes is None else max_bytes)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                spread_by: list[str] | None = None, fits: bool | None = None) -> DataFrame:
-    """Join a big side with a lookup side: broadcast if measured small, else salted.
+                fits: bool | None = None) -> DataFrame:
+    """Join a big side with a lookup side: broadcast if it is known or measured small, else by shuffle.
 
-    ``how`` must keep or test left rows only (inner, left, left_semi, left_anti).
+    ``how`` must keep or test left rows only (inner, left, left_semi, left_anti); Spark splits the left side's hot
+    keys at run time for these. Without ``fits`` the lookup side is measured when this is called.
     """
     if fits is None:
         fits = fits_broadcast(small)
-    if fits:
-        return big.join(F.broadcast(small), on, how)
-    spread_by = spread_by or [c for c in big.columns if c not in on] or on
-    return salted(big, small, on, how, spread_by)
+    return big.join(F.broadcast(small) if fits else small, on, how)

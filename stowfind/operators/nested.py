@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowfind.operators.ordered import top_n
+from stowfind.session import scratch
 
 INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
 
@@ -20,6 +21,8 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     children), ``leaf``, or one of the truncating leaves ``depth``, ``cycle`` and
     ``bad``. ``trail`` orders nodes the way the walk meets them; ``siblings`` is
     the number of children of the node's parent.
+
+    Each level is written to the shared folder before the next one starts from it, so a level costs one join.
     """
     if not 1 <= max_depth <= 8:
         raise ValueError("max_depth must lie in 1..8")
@@ -28,6 +31,7 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     # Each edge learns about its child's own children once, so a level costs one join.
     kids = edges.select("parent_id", F.col("child_id").alias("node_id"), "label", "slot", "fingerprint").join(
         families, "node_id", "left").withColumnRenamed("node_id", "child_id")
+    kids = scratch(kids, "nested-edges")
 
     def step(label: str, slot: str) -> Column:
         return F.struct(F.col(label).alias("label"), F.col(slot).alias("slot"))
@@ -45,7 +49,7 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
         F.array(F.struct("slot", F.col("node_id").alias("id"))).alias("trail"),
         F.array("fingerprint").alias("ancestors"), kind(1).alias("kind"),
         F.lit(1).cast("long").alias("siblings"), "children")
-    nodes = level
+    nodes = level = scratch(level, "nested-level")
     for depth in range(2, max_depth + 1):
         opened = level.filter("kind = 'open'").select(
             "root_id", F.col("node_id").alias("parent_id"), "path", "trail", "ancestors",
@@ -57,6 +61,7 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
             F.concat("trail", F.array(F.struct("slot", F.col("child_id").alias("id")))).alias("trail"),
             F.concat("ancestors", F.array("fingerprint")).alias("ancestors"), kind(depth).alias("kind"),
             "siblings", "children")
+        level = scratch(level, "nested-level")
         nodes = nodes.unionByName(level)
     return nodes.drop("children")
 

@@ -71,7 +71,11 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 
 
 def page(df: DataFrame, order: list[str], size: int, after: tuple | None = None) -> DataFrame:
-    """Keyset page: up to ``size`` rows past the cursor, plus one that tells of more."""
+    """Keyset page: up to ``size`` rows past the cursor, plus one that tells of more.
+
+    ``order`` must be a total order, as rows that tie with the cursor are not shown again.
+    """
     if after is not None:
-        df = df.filter(_ordering(order) > F.struct(*[F.lit(v) for v in after]))
+        cursor = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, after)])
+        df = df.filter(_ordering(order) > cursor)
     return df.orderBy(*order).limit(size + 1)

@@ -131,8 +131,7 @@ class SearchIndex:
         numbered.write.mode("overwrite").parquet(f"{path}/descriptors")
         numbered = spark.read.parquet(f"{path}/descriptors")
         ids = numbered.select("desc_hash", "desc_id")
-        items = lookup_join(self.items.withColumnRenamed("desc_id", "desc_hash"), ids, ["desc_hash"],
-                            spread_by=["item_id"]).drop("desc_hash")
+        items = lookup_join(self.items.withColumnRenamed("desc_id", "desc_hash"), ids, ["desc_hash"]).drop("desc_hash")
         put(items, "items", ["world_id", "cell_x", "cell_z"], ["world_id", "cell_x", "cell_z"], [])
         known = spread(numbered.drop("desc_hash"), "desc_id")
         text = SearchIndex.over(self.items, known, self.cells)

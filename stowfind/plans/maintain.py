@@ -17,7 +17,7 @@ IDENTITY = ["container_id", "block_type", "fingerprint"]
 
 def load_documents(items: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Items of the wanted containers."""
-    return lookup_join(items, keys.select(*on).distinct(), on, "left_semi", spread_by=["item_id"])
+    return lookup_join(items, keys.select(*on).distinct(), on, "left_semi")
 
 
 def document_counts(items: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

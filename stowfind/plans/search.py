@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from stowfind.functions.spatial import distance, query_cells, within
 from stowfind.functions.text import ALIASES, expand, tokenize
 from stowfind.functions.vectors import dense_cosine, sparse_cosine
-from stowfind.operators import fusion
+from stowfind.operators import fusion, joins
 from stowfind.operators.access import allowed
 from stowfind.operators.bm25 import Terms, bm25
-from stowfind.operators.joins import MAX_ROWS, lookup_join
+from stowfind.operators.joins import lookup_join
 from stowfind.operators.ordered import top_n
 from stowfind.plans.index import SearchIndex
 from stowfind.schema import Policy
 from stowfind.session import scratch
 
 DIGITS = 12
+# Bytes of a window cell in a broadcast: seven numbers and the name of a world.
+WINDOW_BYTES = 128
 
 
 @dataclass
@@ -50,8 +52,8 @@ def window_candidates(items: DataFrame, cells: DataFrame, queries: DataFrame, po
     windows = windows.join(open_cells, places, "left_semi")
     # A window has at most this many cells, so the number of queries bounds the windows.
     per_query = (2 * policy.radius // 16 + 2) ** 2
-    near = lookup_join(items, windows, places, spread_by=["item_id"],
-                       fits=query_count * per_query <= MAX_ROWS)
+    near = lookup_join(items, windows, places,
+                       fits=query_count * per_query * WINDOW_BYTES <= joins.MAX_BYTES)
     d = distance(F.col("x").cast("long") - F.col("ox"), F.col("y").cast("long") - F.col("oy"),
                  F.col("z").cast("long") - F.col("oz"))
     return near.withColumn("distance", d).drop("ox", "oy", "oz")
@@ -72,7 +74,7 @@ def ask_once(queries: DataFrame) -> tuple[DataFrame, DataFrame, Terms]:
     texts = said.filter("_text <> ''").groupBy(F.col("_text").alias("query")).agg(F.min("query_id").alias("query_id"))
     terms = Terms.of(queries, texts)
     named = texts.select(F.col("query").alias("_text"), F.col("query_id").alias("text_id"))
-    return lookup_join(said, named, ["_text"], spread_by=["query_id"], fits=terms.small).drop("_text"), texts, terms
+    return lookup_join(said, named, ["_text"], fits=terms.small).drop("_text"), texts, terms
 
 
 def query_vectors(queries: DataFrame, aliases=ALIASES) -> DataFrame:
@@ -87,7 +89,7 @@ def sparse_scores(vectors: DataFrame, queries: DataFrame, key: str = "desc_id",
                   small: bool | None = None) -> DataFrame:
     """(query_id, key, cosine) of each query with each vector that shares a term."""
     dots = (
-        lookup_join(vectors, query_vectors(queries), ["lead", "term"], spread_by=[key], fits=small)
+        lookup_join(vectors, query_vectors(queries), ["lead", "term"], fits=small)
         .groupBy("query_id", key, "q_norm", "norm").agg(F.sum("weight").alias("dot"))
     )
     return dots.select(
@@ -97,8 +99,7 @@ def sparse_scores(vectors: DataFrame, queries: DataFrame, key: str = "desc_id",
 
 def dense_scores(pairs: DataFrame, item_vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of given (query, descriptor) pairs from their dense vectors."""
-    asked = lookup_join(pairs, queries.select("query_id", F.col("vector").alias("q_vector")), ["query_id"],
-                        spread_by=["desc_id"])
+    asked = lookup_join(pairs, queries.select("query_id", F.col("vector").alias("q_vector")), ["query_id"])
     both = asked.join(item_vectors.select("desc_id", "vector"), "desc_id")
     return both.select("query_id", "desc_id",
                        F.round(dense_cosine("vector", "q_vector"), DIGITS).alias("cosine"))
@@ -121,9 +122,8 @@ def full_text_hits(found: DataFrame, policy: Policy, decisions: DataFrame | None
 
 
 def semantic_hits(scored: DataFrame, policy: Policy, decisions: DataFrame | None) -> DataFrame:
-    """Best cosines among accessible candidates within the radius."""
-    seen = scored.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    seen = seen.filter(F.col("cosine") >= policy.min_score)
+    """Best cosines among accessible candidates within the radius; a row without a cosine is no hit."""
+    seen = scored.filter(F.col("cosine") >= policy.min_score)
     seen = seen.filter(within(F.col("distance"), F.lit(policy.radius)))
     if decisions is not None:
         seen = allowed(seen, decisions)
@@ -133,10 +133,19 @@ def semantic_hits(scored: DataFrame, policy: Policy, decisions: DataFrame | None
     return fusion.distinct_rank(cut, [F.asc("_cut")], "sem_rank")
 
 
+def with_direction(queries: DataFrame, dense_queries: DataFrame) -> DataFrame:
+    """Queries with ``_flat``: whether their dense vector has no direction, so that no cosine means anything."""
+    flat = dense_queries.select("query_id", (~F.exists("vector", lambda x: x != 0)).alias("_flat"))
+    return queries.join(flat, "query_id", "left").withColumn("_flat", F.coalesce("_flat", F.lit(False)))
+
+
 def statuses(queries: DataFrame, totals: DataFrame) -> DataFrame:
     """Every query with its status and exact totals."""
     supported = F.size(tokenize(F.col("query"))) > 0
-    return queries.select("query_id", "query").join(totals, "query_id", "left").select(
+    if "_flat" in queries.columns:
+        supported &= ~F.col("_flat")
+    kept = [c for c in ("query_id", "query", "_flat") if c in queries.columns]
+    return queries.select(*kept).join(totals, "query_id", "left").select(
         "query_id",
         F.when(~supported, "UNSUPPORTED_QUERY").when(F.col("total_roots").isNull(), "NO_MATCHES")
         .otherwise("SUCCESS").alias("status"),
@@ -151,11 +160,15 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, policy: Policy = Polic
     Both retrievers score distinct texts against distinct descriptors. The scores
     are written once, so that their size is known when they meet the items of a
     query's window: small ones are broadcast and no item is shuffled, larger ones
-    join with salted keys. The semantic side is the sparse tag vector unless
+    join by shuffle. Calling this runs jobs that measure and write; the results are
+    lazy. The semantic side is the sparse tag vector unless
     ``item_vectors`` (desc_id, vector) and ``dense_queries`` (query_id, vector)
     are given.
     """
-    usable, texts, terms = ask_once(queries)
+    if dense_queries is not None:
+        queries = with_direction(queries, dense_queries)
+    asked = queries.filter("not _flat").drop("_flat") if dense_queries is not None else queries
+    usable, texts, terms = ask_once(asked)
     candidates = window_candidates(index.items, index.cells, usable, policy, terms.queries)
     pair = ["text_id", "desc_id"]
     full_text = scratch(full_text_scores(index, terms).withColumnRenamed("query_id", "text_id"), "scores")
@@ -167,11 +180,14 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, policy: Policy = Polic
         meet = ["query_id", "desc_id"]
         cosines = dense_scores(candidates.select(*meet).distinct(), item_vectors, dense_queries)
     cosines = scratch(cosines.filter(F.col("cosine") >= policy.min_score), "cosines")
-    first = full_text_hits(lookup_join(candidates, full_text, pair, spread_by=["item_id"]), policy, decisions)
-    # Without a minimum, items that share no term still count with cosine 0.
-    how = "inner" if policy.min_score > 0 else "left"
+    first = full_text_hits(lookup_join(candidates, full_text, pair), policy, decisions)
     near = candidates.filter(within(F.col("distance"), F.lit(policy.radius)))
-    second = semantic_hits(lookup_join(near, cosines, meet, how, spread_by=["item_id"]), policy, decisions)
+    if item_vectors is None and policy.min_score <= 0:
+        # Without a minimum, items that share no term with the query still count, with sparse cosine 0.
+        scored = lookup_join(near, cosines, meet, "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    else:
+        scored = lookup_join(near, cosines, meet)
+    second = semantic_hits(scored, policy, decisions)
     ranked = fusion.rank(fusion.fuse(first, second, policy))
     shown = F.col("root_rank") <= policy.max_results
     return SearchResult(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,15 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
+# Folders of local applications whose session names none.
+_unset: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -35,15 +42,13 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder that ``spark.checkpoint.dir`` names; where it is unset on a local master, a new one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _unset.get(spark.sparkContext.applicationId)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _unset[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return folder.rstrip("/")
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -54,10 +59,9 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a table of fewer files than cores, whose tasks would leave cores idle.
+    """Repartition a table that is read in fewer parts than there are cores, which would leave cores idle.
 
-    Large tables have many files and stay as they are read.
+    Large files are read in many parts, so large tables stay as they are read.
     """
-    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

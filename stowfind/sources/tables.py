@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowfind.functions.descriptor import descriptor, semantic_hash
@@ -14,10 +14,13 @@ from stowfind.plans.index import SearchIndex
 from stowfind.session import shared_folder, spread
 
 
-# Rows of one group that a single task may sort.
-WINDOW_ROWS = 1_000_000
+# Slots that the ids of one container's lines leave room for.
+SLOTS = 1 << 20
 
-_largest: dict[tuple[str, str], int] = {}
+
+def line_id(container: Column, slot: Column) -> Column:
+    """A number for a line of a container; no two lines share one."""
+    return container * SLOTS + slot
 
 
 class Tables:
@@ -62,28 +65,15 @@ class Tables:
     def numbered_lines(self) -> DataFrame:
         """Line items with the slot they fill in their order.
 
-        A plain window numbers an order in one task. Where the largest order is
-        too big for that, orders are numbered in chunks with the same result.
+        Orders are numbered in chunks of their lines, so that one with very many lines is not in one task.
         """
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
         lines = self.read("lineitem").select("l_orderkey", *order)
-        if self._largest_order() <= WINDOW_ROWS:
-            numbered = lines.withColumn("slot", F.row_number().over(
-                Window.partitionBy("l_orderkey").orderBy(*order)))
-        else:
-            chunk = F.col("l_linenumber").cast("long") * (1 << 40) + F.floor(F.col("l_partkey") / 256)
-            numbered = running_count(lines, ["l_orderkey"], order, chunk, "slot")
+        chunk = F.floor(F.col("l_linenumber") / 1024)
+        numbered = running_count(lines, ["l_orderkey"], order, chunk, "slot")
         return numbered.select("l_orderkey", "l_partkey", F.col("slot").cast("int").alias("slot"),
                                F.col("l_quantity").cast("int").alias("amount"))
 
-    def _largest_order(self) -> int:
-        """Rows of the largest order, counted once per application and folder."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _largest:
-            sizes = self.read("lineitem").groupBy("l_orderkey").count()
-            _largest[key] = sizes.agg(F.max("count")).first()[0] or 0
-        return _largest[key]
-
     def slim_items(self) -> DataFrame:
         """One item per line item, with the hash of its descriptor."""
         orders = self.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
@@ -91,7 +81,7 @@ class Tables:
             F.col("p_partkey").alias("l_partkey"), F.col("descriptor.material_key").alias("material_key"), "desc_hash")
         lines = self.numbered_lines().join(orders, "l_orderkey").join(parts, "l_partkey")
         return lines.select(
-            (F.col("l_orderkey") * 100 + F.col("slot")).alias("item_id"),
+            line_id(F.col("l_orderkey"), F.col("slot")).alias("item_id"),
             F.col("l_orderkey").alias("container_id"),
             F.array(F.struct(F.col("o_orderpriority").alias("label"), F.col("slot"))).alias("path"),
             "amount", "material_key", "desc_hash", "l_partkey")

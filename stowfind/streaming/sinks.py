@@ -39,7 +39,9 @@ def _origin(store: TableStore, checkpoint: str, base: int) -> int:
     place = f"{checkpoint.rstrip('/')}-origin"
     try:
         return store.spark.read.schema("version long").json(place).agg(F.min("version")).first()[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         store.spark.range(1).select(F.lit(base).cast("long").alias("version")).write.json(place)
         return base
 

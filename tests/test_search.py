@@ -109,7 +109,8 @@ def test_shuffled_lookup_gives_the_same(spark, monkeypatch):
     index, questions = world(spark, rows), ask(spark, "diamond", "granite gra")
     want = sorted(map(tuple, hybrid_search(index, questions).items.select("query_id", "item_id", "score").collect()))
     build = Terms.of
-    monkeypatch.setattr("stowfind.plans.search.MAX_ROWS", 0)
+    monkeypatch.setattr("stowfind.operators.joins.MAX_BYTES", 0)
+    monkeypatch.setattr("stowfind.operators.joins.MAX_ROWS", 0)
 
     def never_small(*args):
         measured = build(*args)
