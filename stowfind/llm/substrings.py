@@ -7,9 +7,10 @@ bytes include one of least hash, its anchor; equal strings have equal anchors, s
 2. Each shard deals the hashes of its anchors to buckets; a bucket tells which hashes other shards have too.
 3. For each anchor that repeats, a shard sends its context, the bytes of all strings that belong to the anchor, once for
    each different context, with the smallest id that has it. So a hot passage is sent once by a shard, not by a document.
-4. In a bucket, the contexts of each lot of shards have a suffix array, refined by doubling in numpy after Larsson and
-   Sadakane, and common prefixes after Kasai. Neighbours with ``width`` bytes in common are one string. The sorted
-   strings of all lots are merged by binary search to find the smallest id that has each.
+4. In a bucket, contexts that differ but have the same anchor may share some strings. They are dealt to lots; each lot
+   has a suffix array, refined by doubling in numpy after Larsson and Sadakane, and common prefixes after Kasai.
+   Neighbours with ``width`` bytes in common are one string. The sorted strings of all lots are merged by binary search
+   to find the smallest id that has each.
 5. The answers go back to the shards, where the strings are marked and the bytes that they cover are removed.
 
 Cases: a null or empty text has 0 bytes and no spans, and the digest of nothing; a null id is not compared and is in no
@@ -34,7 +35,7 @@ from stowfind.session import scratch
 
 GRAM = 16
 # Bytes of text of a shard, of text for each bucket, and of contexts that a suffix array is built over.
-SHARD_BYTES, BUCKET_BYTES, LOT_BYTES = 8 << 20, 4 << 20, 2 << 20
+SHARD_BYTES, BUCKET_BYTES, LOT_BYTES = 8 << 20, 4 << 20, 1 << 20
 MOST_BUCKETS = 20_000
 # Bytes of answers that may be broadcast.
 SMALL_BYTES = 32 << 20
@@ -180,7 +181,8 @@ class Shard:
         return self.order[there[self.group]] if len(self.order) else self.order
 
     def contexts(self, answers: list[dict], width: int):
-        """Different contexts of repeated anchors in order, and for each occurrence its context, start and strings."""
+        """Different contexts of repeated anchors, with bucket, smallest id and place of the anchor, and for each
+        occurrence its context, start, strings and document."""
         use = self.repeated(answers)
         starts, n = self.at[use] - self.first[use], self.first[use] - self.last[use] + 1
         text, known = self.text.tobytes(), {}
@@ -188,9 +190,11 @@ class Shard:
             starts.tolist(), (starts + n - 1 + width).tolist())), np.int64, len(use))
         bucket = np.zeros(len(known), np.int64)
         bucket[which] = self.bucket[use]
+        offset = np.zeros(len(known), np.uint8)
+        offset[which] = self.first[use]
         least = np.full(len(known), NEVER)
         np.minimum.at(least, which, self.docs[self.doc[use]])
-        return list(known), bucket, least, which, starts, n, self.doc[use]
+        return list(known), bucket, least, offset, which, starts, n, self.doc[use]
 
 
 def seen_elsewhere(shards: DataFrame, buckets: int) -> DataFrame:
@@ -309,6 +313,48 @@ def lot_strings(text: np.ndarray, valid: np.ndarray, owner: np.ndarray, width: i
     return strings, least, which
 
 
+def known_contexts(row: dict) -> tuple[list[bytes], list[int]]:
+    """The contexts that a shard sent, and where in each the anchor is."""
+    ends = np.cumsum(np.frombuffer(row["sizes"], "<i4"), dtype=np.int64).tolist()
+    text = row["text"]
+    return [text[a:b] for a, b in zip([0, *ends], ends)], np.frombuffer(row["anchors"], np.uint8).tolist()
+
+
+def shared_strings(contexts: list[bytes], chosen: np.ndarray, least: np.ndarray, width: int, lot_bytes: int) -> list:
+    """(contexts, first, last, smallest ids) of runs of strings of the chosen contexts, by lots."""
+    sizes = np.array([len(contexts[i]) for i in chosen.tolist()], np.int64)
+    lot_of = np.cumsum(sizes) // lot_bytes
+    lots = [chosen[lot_of == k] for k in np.unique(lot_of)]
+    found = []
+    for lot in lots:
+        own = [contexts[i] for i in lot.tolist()]
+        size = np.array([len(c) for c in own], np.int64)
+        text = np.frombuffer(b"".join(own), np.uint8)
+        ends = np.cumsum(size)
+        valid = np.arange(len(text)) + width <= np.repeat(ends, size)
+        strings, smallest, which = lot_strings(text, valid, np.repeat(least[lot], size), width)
+        places = np.flatnonzero(valid)
+        found.append((strings, smallest, which[places], np.repeat(np.arange(len(lot)), size)[places],
+                      places - np.repeat(ends - size, size)[places]))
+    if not found:
+        return []
+    # Merge the sorted lists: the place of each lot's strings among all of them, by binary search.
+    every = found[0][0] if len(found) == 1 else np.unique(np.concatenate([f[0] for f in found]))
+    best = np.full(len(every), NEVER)
+    where = []
+    for strings, smallest, *_ in found:
+        where.append(np.searchsorted(every, strings))
+        np.minimum.at(best, where[-1], smallest)
+    out = []
+    for lot, (_, _, which, context, place), at in zip(lots, found, where):
+        value = best[at[which]]
+        heads = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (value[1:] != value[:-1])))
+        tails = np.append(heads[1:], len(value)) - 1
+        out.append((lot[context[heads]], place[heads], place[tails], value[heads]))
+    return out
+
+
+CONTEXTS = "bucket int, shard long, text binary, sizes binary, anchors binary, least binary"
 ANSWERS = "shard long, bucket int, context binary, first binary, last binary, least binary"
 
 
@@ -319,7 +365,7 @@ def smallest_ids(shards: DataFrame, buckets: int, width: int, lot_bytes: int) ->
         for batch in batches:
             for row in batch.to_pylist():
                 s = Shard(row, buckets)
-                known, bucket, least, *_ = s.contexts(row["answers"] or [], width)
+                known, bucket, least, offset, *_ = s.contexts(row["answers"] or [], width)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1]))[:len(by)]
                 rows = []
@@ -327,66 +373,51 @@ def smallest_ids(shards: DataFrame, buckets: int, width: int, lot_bytes: int) ->
                     mine = by[low:high]
                     own = [known[i] for i in mine.tolist()]
                     rows.append((int(bucket[mine[0]]), row["shard"], b"".join(own),
-                                 np.array([len(x) for x in own], "<i4").tobytes(), least[mine].tobytes()))
-                yield batch_of("bucket int, shard long, text binary, sizes binary, least binary", rows)
+                                 np.array([len(x) for x in own], "<i4").tobytes(), offset[mine].tobytes(),
+                                 least[mine].tobytes()))
+                yield batch_of(CONTEXTS, rows)
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
-        lots, held, size = [], [], 0
-        for r in rows:
-            if held and size + len(r["text"]) > lot_bytes:
-                lots.append(held)
-                held, size = [], 0
-            held.append(r)
-            size += len(r["text"])
-        lots.append(held)
-        found = []
-        for lot in lots:
-            sizes = np.concatenate([np.frombuffer(r["sizes"], "<i4") for r in lot]).astype(np.int64)
-            ids = np.concatenate([np.frombuffer(r["least"], "<i8") for r in lot])
-            text = np.concatenate([np.frombuffer(r["text"], np.uint8) for r in lot])
-            ends = np.cumsum(sizes)
-            valid = np.arange(len(text)) + width <= np.repeat(ends, sizes)
-            found.append((*lot_strings(text, valid, np.repeat(ids, sizes), width), valid, sizes, ids))
-        # Merge the sorted lists: the place of each lot's strings among all of them, by binary search.
-        every = found[0][0] if len(found) == 1 else np.unique(np.concatenate([f[0] for f in found]))
-        least = np.full(len(every), NEVER)
-        where = []
-        for strings, own, *_ in found:
-            where.append(np.searchsorted(every, strings))
-            np.minimum.at(least, where[-1], own)
+        rows = [(r["shard"], np.frombuffer(r["least"], "<i8"), *known_contexts(r)) for r in group.to_pylist()]
+        # Equal contexts of all shards are one, with the smallest id that has it.
+        known: dict[bytes, int] = {}
+        ids = [np.array([known.setdefault(c, len(known)) for c in own], np.int64) for _, _, own, _ in rows]
+        least = np.full(len(known), NEVER)
+        grams: dict[bytes, int] = {}
+        anchor = np.zeros(len(known), np.int64)
+        for (_, own_least, own, at), which in zip(rows, ids):
+            np.minimum.at(least, which, own_least)
+            anchor[which] = [grams.setdefault(c[i:i + GRAM], len(grams)) for c, i in zip(own, at)]
+        # Only contexts of one anchor can share strings, so one that is its anchor's only context is done.
+        shared = np.bincount(anchor)[anchor] > 1 if len(anchor) else anchor > 0
+        contexts = list(known)
+        alone = np.flatnonzero(~shared)
+        runs = [(alone, np.zeros(len(alone), np.int64),
+                 np.array([len(contexts[i]) - width for i in alone.tolist()], np.int64), least[alone]),
+                *shared_strings(contexts, np.flatnonzero(shared), least, width, lot_bytes)]
+        context, first, last, value = (np.concatenate(x) for x in zip(*runs))
+        by = np.argsort(context, kind="stable")
+        context, first, last, value = context[by], first[by], last[by], value[by]
+        begins = np.searchsorted(context, np.arange(len(known) + 1))
         out = []
-        for lot, (_, _, which, valid, sizes, ids), at in zip(lots, found, where):
-            begins = np.cumsum(sizes) - sizes
-            places = np.flatnonzero(valid)
-            value = least[at[which[places]]]
-            context = np.repeat(np.arange(len(sizes)), sizes)[places]
-            less = value < ids[context]
-            places, value, context = places[less], value[less], context[less]
-            new = np.append(True, (context[1:] != context[:-1]) | (value[1:] != value[:-1])
-                            | (places[1:] != places[:-1] + 1))[:len(places)]
-            heads = np.flatnonzero(new)
-            tails = np.append(heads[1:], len(places))[:len(heads)] - 1
-            run, low, high = context[heads], places[heads] - begins[context[heads]], places[tails] - begins[
-                context[heads]]
-            base = 0
-            for r in lot:
-                n = len(r["sizes"]) // 4
-                mine = slice(*np.searchsorted(run, [base, base + n]))
-                if mine.stop > mine.start:
-                    out.append((r["shard"], key[0].as_py(), (run[mine] - base).astype("<i4").tobytes(),
-                                low[mine].astype(np.uint8).tobytes(), high[mine].astype(np.uint8).tobytes(),
-                                value[heads][mine].tobytes()))
-                base += n
+        for (shard, own_least, _, _), which in zip(rows, ids):
+            n = begins[which + 1] - begins[which]
+            place = np.repeat(np.arange(len(which)), n)
+            at = np.repeat(begins[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            less = value[at] < own_least[place]
+            place, at = place[less], at[less]
+            if len(at):
+                out.append((shard, key[0].as_py(), place.astype("<i4").tobytes(), first[at].astype(np.uint8).tobytes(),
+                            last[at].astype(np.uint8).tobytes(), value[at].tobytes()))
         return pa.Table.from_batches([batch_of(ANSWERS, out)])
 
-    sent = shards.mapInArrow(send, "bucket int, shard long, text binary, sizes binary, least binary")
+    sent = shards.mapInArrow(send, CONTEXTS)
     return sent.groupBy("bucket").applyInArrow(merge, ANSWERS)
 
 
 def spans_of(s: Shard, seen: list[dict], answers: list[dict], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each document of a shard, the starts and ends of the byte runs to remove."""
-    known, bucket, least, which, starts, n, doc = s.contexts(seen, width)
+    known, bucket, least, _, which, starts, n, doc = s.contexts(seen, width)
     mine = s.docs[doc]
     marks = np.zeros(len(s.text) + 1, np.int64)
 
