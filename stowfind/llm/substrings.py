@@ -37,7 +37,7 @@ GRAM = 16
 # Bytes of text of a shard, of text for each bucket, and of contexts that a suffix array is built over.
 SHARD_BYTES, BUCKET_BYTES, LOT_BYTES = 8 << 20, 4 << 20, 1 << 20
 MOST_BUCKETS = 20_000
-# Bytes of answers that may be broadcast.
+# Bytes of bits about anchors that may be broadcast.
 SMALL_BYTES = 32 << 20
 NEVER = np.iinfo(np.int64).max
 
@@ -459,15 +459,15 @@ def repeats_removed(docs: DataFrame, width: int = 50, shard_bytes: int = SHARD_B
     total = shards.agg(F.sum("n_text")).first()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // bucket_bytes))))
 
-    def joined(left: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+    def listed(answers: DataFrame, name: str) -> DataFrame:
         columns = [c for c in answers.columns if c != "shard"]
-        lists = scratch(answers.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias(name)), name)
-        size = lists.agg(F.sum(F.aggregate(name, F.lit(0).cast("long"), lambda n, a: n + sum(
-            (F.octet_length(a[c]) for c in columns if c != "bucket"), F.lit(0))))).first()[0] or 0
-        return left.join(F.broadcast(lists) if size <= SMALL_BYTES else lists, "shard", "left")
+        return scratch(answers.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias(name)), name)
 
-    shards = joined(shards, seen_elsewhere(shards, buckets), "answers")
-    shards = joined(shards, smallest_ids(shards, buckets, width, lot_bytes), "smaller")
+    # Bits are few, a sixty-fourth of the hashes; answers grow with what repeats and are dealt out at every size.
+    seen = listed(seen_elsewhere(shards, buckets), "answers")
+    size = seen.agg(F.sum(F.aggregate("answers", F.lit(0), lambda n, a: n + F.octet_length(a["seen"])))).first()[0] or 0
+    shards = shards.join(F.broadcast(seen) if size <= SMALL_BYTES else seen, "shard", "left")
+    shards = shards.join(listed(smallest_ids(shards, buckets, width, lot_bytes), "smaller").hint("merge"), "shard", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
