@@ -182,7 +182,8 @@ def near_duplicates_dropped(docs: DataFrame, distance: int = 3, shingle: int = 5
     """
     placed = simhash_components(docs, distance, shingle, blocks)
     kept = placed.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = scratch(kept, "kept")
+    # Kept ids grow with the documents, so both are dealt out by id at every size.
+    kept = scratch(kept, "kept").hint("merge")
     rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
     often = scratch(placed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
                     .select(F.col("doc_id").alias("__often")), "repeated-ids")
