@@ -135,16 +135,17 @@ def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copie
          write_hits: bool = False) -> DataFrame:
     """(query_id, keys, score) of rows that match all groups of a query; lower is better.
 
-    A phrase is scored once per row, however many queries ask for it, and only
-    then handed to its queries. ``copies`` names a column telling for how many
-    corpus rows a key stands. Occurrences add up before the shuffle; then all
-    rows of a key are brought together and the aggregations by key reuse that.
-    ``write_hits`` writes them to the shared folder, for postings that are costly
-    to derive and would be derived again for the document frequencies.
+    A query first meets only the rows of its rarest group, so rows of frequent
+    phrases are never paired with queries that they cannot answer; queries with a
+    group that no row has are dropped before. ``copies`` names a column telling
+    for how many corpus rows a key stands. The rows of a key are brought together
+    once, and the aggregations by key reuse that. ``write_hits`` writes them to the
+    shared folder, for postings that are costly to derive and would be derived again
+    for the document frequencies.
     """
     extra = [copies] if copies else []
     hits = phrase_hits(post, terms)
-    per_phrase = hits.groupBy(*keys, "phrase", "doc_len", *extra).agg(F.sum("w").alias("f")).repartition(*keys)
+    per_phrase = hits.repartition(*keys).groupBy(*keys, "phrase", "doc_len", *extra).agg(F.sum("w").alias("f"))
     if write_hits:
         per_phrase = scratch(per_phrase, "hits")
     df = per_phrase.groupBy("phrase").agg(
@@ -152,18 +153,37 @@ def bm25(post: DataFrame, stats: DataFrame, terms: Terms, keys: list[str], copie
     raw_idf = F.log((F.col("s.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     corpus = stats.select(F.struct("n_docs", "avg_len")).scalar()
     idf = df.withColumn("s", corpus).select(
-        "phrase", F.col("s.avg_len").alias("avg_len"),
+        "phrase", "df", F.col("s.avg_len").alias("avg_len"),
         F.when(raw_idf > 0, raw_idf).otherwise(IDF_FLOOR).alias("idf"))
-    asked = terms.rows.select("phrase", "query_id", "n_groups", "group_no").join(idf, "phrase")
-    f, length = F.col("f"), F.col("doc_len")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("avg_len")))
     # As many rows as there are terms, so as bounded as these.
-    by_group = lookup_join(per_phrase, asked, ["phrase"], fits=terms.small).groupBy(
-        "query_id", *keys, "n_groups", "group_no").agg(F.sum(part).alias("part"))
-    scored = by_group.groupBy("query_id", *keys, "n_groups").agg(
-        F.sum("part").alias("total"), F.count(F.lit(1)).alias("matched"))
-    return scored.filter(F.col("matched") == F.col("n_groups")).select(
-        "query_id", *keys, F.round(-F.col("total"), DIGITS).alias("score"))
+    asked = terms.rows.select("phrase", "query_id", "n_groups", "group_no").join(idf, "phrase")
+    groups = asked.groupBy("query_id", "n_groups", "group_no").agg(
+        F.sum("df").alias("most"), F.collect_list(F.struct("phrase", "idf", "avg_len")).alias("phrases"))
+    group = F.struct("most", "group_no", "phrases")
+    whole = groups.groupBy("query_id", "n_groups").agg(
+        F.count(F.lit(1)).alias("met"), F.sort_array(F.collect_list(group)).alias("groups")).filter("met = n_groups")
+    # A query's groups, the rarest first.
+    whole = scratch(whole.select("query_id", "groups"), "asked")
+    leads = whole.select("query_id", F.col("groups")[0]["phrases"]["phrase"].alias("lead"), "groups").select(
+        "*", F.explode("lead").alias("phrase"))
+    by_key = per_phrase.groupBy(*keys, "doc_len", *extra).agg(
+        F.map_from_entries(F.collect_list(F.struct("phrase", "f"))).alias("held"))
+    met = lookup_join(by_key.select("*", F.explode(F.map_keys("held")).alias("phrase")), leads, ["phrase"],
+                      fits=terms.small)
+    # A row that holds several phrases of the rarest group meets the query by the first of them only.
+    met = met.filter(F.filter("lead", lambda p: F.map_contains_key("held", p))[0] == F.col("phrase"))
+
+    def parts(g: Column) -> Column:
+        def add(total: Column, p: Column) -> Column:
+            f = F.try_element_at("held", p["phrase"])
+            return total + F.coalesce(p["idf"] * f * (K1 + 1) / (
+                f + K1 * (1 - B + B * F.col("doc_len") / p["avg_len"])), F.lit(0.0))
+
+        return F.aggregate(g["phrases"], F.lit(0.0), add)
+
+    answered = F.forall("groups", lambda g: F.exists(g["phrases"], lambda p: F.map_contains_key("held", p["phrase"])))
+    total = F.aggregate("groups", F.lit(0.0), lambda t, g: t + parts(g))
+    return met.filter(answered).select("query_id", *keys, F.round(-total, DIGITS).alias("score"))
 
 
 def text_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
