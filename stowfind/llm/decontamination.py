@@ -6,8 +6,8 @@
    parts of the items, gives a latent space of at most ``rank`` dimensions. Items are taken ``items_at_once`` at a time,
    which bounds what is broadcast; each lot reads the documents once.
 3. Documents are cut to overlapping windows of a few lengths. A window's cosine to an item is its latent product over
-   its own norm. Since the space holds benchmark words only, a window whose benchmark words carry too little of its norm
-   cannot reach the least cosine and is not projected.
+   its own norm. A window whose words cannot reach the least cosine with any item, by the most that each word can add,
+   is not projected.
 4. A candidate is verified word by word: the longest common subsequence of the item and the text around the window must
    hold ``copy_share`` of the item's words, or, for a paraphrase, ``paraphrase_share`` and the item's answer: the words
    of highest IDF of its last sentence.
@@ -20,7 +20,6 @@ one of largest overlap, then the earliest.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,30 +38,78 @@ TO_SPACE = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 OTHERS = 1 << 16
 # Words of a block: windows begin at blocks.
 STEP = 8
-REMEMBERED = 500_000
+BYTES_AT_ONCE = 1 << 20
+TEXTS_AT_ONCE = 1000
 BLOCKS_AT_ONCE = 4096
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(TO_SPACE).split()
-
-
-class Ids(dict):
-    """Word numbers: benchmark words first, in order, then hashes of all other words."""
-
-    def __init__(self, own: list[bytes]):
-        super().__init__(zip(own, range(len(own))))
-        self.own = own
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.own) + REMEMBERED:
-            self.clear()
-            self.update(zip(self.own, range(len(self.own))))
-        number = self[word] = len(self.own) + zlib.crc32(word) % OTHERS
-        return number
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+def powers(base: int, n: int) -> np.ndarray:
+    """Powers of an odd number, modulo 2 to the 64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Powers:
+    """Powers of a base and of its inverse, as many as the longest run of bytes has needed."""
+
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    up, down = powers(base, 1 << 16), powers(inverse, 1 << 16)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(cls.up):
+            cls.up, cls.down = powers(cls.base, 2 * n), powers(cls.inverse, 2 * n)
+        return cls.up, cls.down
+
+
+def word_hashes(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the number of words of each text.
+
+    A word's hash is a polynomial of its bytes, so all words of some texts are hashed by a few array operations.
+    """
+    spoken = [t.lower().encode("utf-8", "replace") for t in texts_]
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(spoken), np.int64)
+    ends = np.cumsum([len(x) + 1 for x in spoken])
+    low = 0
+    while low < len(spoken):
+        begin = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, begin + BYTES_AT_ONCE, side="right")))
+        data = np.frombuffer((b" ".join(spoken[low:high]) + b" ").translate(TO_SPACE), np.uint8)
+        inside = data != 32
+        edges = np.diff(inside.astype(np.int8), prepend=0)
+        starts = np.flatnonzero(edges == 1)
+        if len(starts):
+            up, down = Powers.of(len(data))
+            h = np.add.reduceat(np.where(inside, data, 0).astype(np.uint64) * up[:len(data)], starts) * down[starts]
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            hashes.append(h ^ (h >> np.uint64(29)))
+            counts[low:high] = np.bincount(np.searchsorted(ends[low:high] - begin, starts, side="right"),
+                                           minlength=high - low)
+        low = high
+    return np.concatenate(hashes), counts
+
+
+class Numbers:
+    """Word numbers: the benchmark's words first, by their hashes, then a shorter hash of all other words."""
+
+    def __init__(self, own: np.ndarray):
+        self.own = own  # sorted
+        self.likely = np.zeros(OTHERS, dtype=bool)
+        self.likely[self.short(own)] = True
+
+    @staticmethod
+    def short(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - OTHERS.bit_length() + 1)).astype(np.int64)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        short = self.short(hashes)
+        out = short + len(self.own)
+        maybe = np.flatnonzero(self.likely[short])
+        at = np.minimum(np.searchsorted(self.own, hashes[maybe]), len(self.own) - 1)
+        same = self.own[at] == hashes[maybe]
+        out[maybe[same]] = at[same]
+        return out
 
 
 @dataclass
@@ -72,24 +119,27 @@ class Lot:
     item_ids: list
     items: list[np.ndarray]  # word numbers of each item
     answers: list[np.ndarray]  # word numbers of each item's answer, in order
-    own: list[bytes]
+    own: np.ndarray  # sorted hashes of benchmark words
     idf: np.ndarray  # by word number
     basis: np.ndarray  # benchmark words by latent dimensions
     queries: np.ndarray  # items by latent dimensions, unit rows
     lengths: list[tuple[int, np.ndarray]]  # window length in words, items looked for in such windows
 
 
-def word_frequencies(rows: DataFrame, own: list[bytes]) -> tuple[int, np.ndarray]:
+def word_frequencies(rows: DataFrame, own: np.ndarray) -> tuple[int, np.ndarray]:
     """Documents, and the number that hold each word number: ``len(own) + OTHERS`` numbers, whatever the corpus."""
     size = len(own) + OTHERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, n = Ids(own), np.zeros(size + 1, dtype=np.int64), 0
+        numbers, counts = Numbers(own), np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                n += 1
-                counts[np.unique(ids.of(words_of(text.as_py())))] += 1
-        counts[size] = n
+            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                hashes, n_words = word_hashes(batch["text"].slice(low, TEXTS_AT_ONCE).to_pylist())
+                text = np.repeat(np.arange(len(n_words)), n_words)
+                pairs = np.sort(text * size + numbers.of(hashes))
+                once = pairs[np.append(True, pairs[1:] != pairs[:-1])[:len(pairs)]]
+                counts[:size] += np.bincount(once % size, minlength=size)
+            counts[size] += batch.num_rows
         found = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(found, pa.int64()), pa.array(counts[found])], ["word", "n"])
 
@@ -141,15 +191,17 @@ def latent_basis(passages: DataFrame, words: int, items: int, rank: int, rounds:
 def prepare(rows: DataFrame, items: list[tuple[int, str]], rank: int, answer_words: int) -> Lot | None:
     """Statistics and latent space of one lot of items."""
     spark = rows.sparkSession
-    spoken = [(i, words_of(t), words_of(last_sentence(t))) for i, t in items]
-    spoken = [x for x in spoken if x[1]]
-    own = sorted({w for _, words, _ in spoken for w in words})
-    if not spoken:
+    hashes, n_words = word_hashes([t for _, t in items])
+    ends, n_last = word_hashes([last_sentence(t) for _, t in items])
+    own = np.unique(hashes)
+    if not len(own):
         return None
-    ids = Ids(own)
+    of = Numbers(own)
+    every, last = np.split(of.of(hashes), np.cumsum(n_words)[:-1]), np.split(of.of(ends), np.cumsum(n_last)[:-1])
+    named = [(i, n, e) for (i, _), n, e in zip(items, every, last) if len(n)]
     documents, counts = word_frequencies(rows, own)
     idf = np.log((documents + 1) / (counts + 1)) + 0.05
-    numbers = [ids.of(words) for _, words, _ in spoken]
+    numbers = [n for _, n, _ in named]
     sparse = []
     for k, n in enumerate(numbers):
         w, tf = np.unique(n, return_counts=True)
@@ -160,16 +212,22 @@ def prepare(rows: DataFrame, items: list[tuple[int, str]], rank: int, answer_wor
     queries = np.stack([np.array(x) @ basis[w] for _, w, x in sparse])
     norms = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
     answers = []
-    for _, _, last in spoken:
-        n = ids.of(last)
+    for _, _, n in named:
         rare = sorted(range(len(n)), key=lambda i: (-idf[n[i]], i))[:answer_words]
         answers.append(n[sorted(rare)])
-    sizes = np.array([max(2 * STEP, STEP * int(2 ** np.ceil(np.log2((len(n) + STEP) / STEP)))) for n in numbers])
-    return Lot([i for i, _, _ in spoken], numbers, answers, own, idf, basis.astype(np.float32),
+    # Windows that hold an item wherever it begins, and little more.
+    sizes = np.array([window_length(len(n)) for n in numbers])
+    return Lot([i for i, *_ in named], numbers, answers, own, idf, basis.astype(np.float32),
                (queries / np.maximum(norms, 1e-12)).astype(np.float32),
                [(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)])
 
 
+def window_length(words: int) -> int:
+    """Whole blocks for an item that begins anywhere in the first, in steps of an eighth for long items."""
+    step = STEP * max(1, 1 << max(0, (words // (8 * STEP)).bit_length() - 1))
+    return -(-(words + STEP - 1) // step) * step
+
+
 def last_sentence(text: str) -> str:
     parts = [p for p in text.replace("\n", " ").replace("!", ".").replace("?", ".").split(".") if p.strip()]
     return parts[-1] if parts else ""
@@ -194,10 +252,16 @@ class Search:
 
     def __init__(self, lot: Lot, cosine: float, copy_share: float, paraphrase_share: float):
         self.lot, self.cosine, self.copy, self.paraphrase = lot, cosine, copy_share, paraphrase_share
-        self.ids, self.n_own = Ids(lot.own), len(lot.own)
+        self.numbers, self.n_own = Numbers(lot.own), len(lot.own)
         self.weight = np.append(lot.idf, 0.0)  # the last number stands for no word
         self.square = self.weight ** 2
-        self.own_square = np.where(np.arange(len(self.square)) < self.n_own, self.square, 0.0)
+        # The most that a word can add to the product with any item.
+        largest = np.zeros(len(self.weight))
+        for item in lot.items:
+            w, tf = np.unique(item, return_counts=True)
+            x = tf * lot.idf[w]
+            largest[w] = np.maximum(largest[w], x / np.sqrt((x * x).sum()))
+        self.most = largest * self.weight
         self.basis = np.vstack([lot.basis, np.zeros((1, lot.basis.shape[1]), np.float32)])
         self.basis[:-1] *= lot.idf[:self.n_own, None].astype(np.float32)
 
@@ -206,13 +270,13 @@ class Search:
         blocks = numbers.reshape(-1, STEP)
         n = len(blocks)
         norm = np.append(0.0, self.square[blocks].sum(axis=1).cumsum())
-        own = np.append(0.0, self.own_square[blocks].sum(axis=1).cumsum())
+        most = np.append(0.0, self.most[blocks].sum(axis=1).cumsum())
         for length, items in self.lot.lengths:
             span = length // STEP
             start = np.arange(n)
             stop = np.minimum(start + span, n)
             mass = norm[stop] - norm[start]
-            live = np.flatnonzero((own[stop] - own[start] >= self.cosine ** 2 * mass) & (mass > 0))
+            live = np.flatnonzero((most[stop] - most[start] >= self.cosine * np.sqrt(mass)) & (mass > 0))
             queries = self.lot.queries[items]
             for a in range(0, len(live), BLOCKS_AT_ONCE):
                 part = live[a:a + BLOCKS_AT_ONCE]
@@ -227,16 +291,25 @@ class Search:
                                   self.basis[w].sum(axis=1).cumsum(axis=0, dtype=np.float64)])
                 first = np.searchsorted(needed, part)
                 latent = sums[first + (stop[part] - part)] - sums[first]
-                near = (latent @ queries.T) / np.sqrt(mass[part])[:, None]
+                # A window is at least as long as its image; both bound its norm, which counts repeated words.
+                norms = np.maximum(np.sqrt(mass[part]), np.sqrt((latent * latent).sum(axis=1)))
+                near = (latent @ queries.T) / norms[:, None]
                 i, j = np.nonzero(near >= self.cosine)
                 yield from zip((part[i] * STEP).tolist(), [length] * len(i), items[j].tolist(), near[i, j].tolist())
 
+    def hits_of(self, texts_: list[str]) -> list[dict]:
+        """``hits`` a number of texts at a time."""
+        return [x for low in range(0, len(texts_), TEXTS_AT_ONCE) for x in self.hits(texts_[low:low + TEXTS_AT_ONCE])]
+
     def hits(self, texts_: list[str]) -> list[dict[int, tuple[float, float, int, bool]]]:
         """For each text, by item: (cosine, overlap, first word, answer)."""
+        if not texts_:
+            return []
         nothing = len(self.weight) - 1
-        spoken = [self.ids.of(words_of(t)) for t in texts_]
+        hashes, n_words = word_hashes(texts_)
+        spoken = np.split(self.numbers.of(hashes), np.cumsum(n_words)[:-1])
         begins = np.cumsum([0, *(-(-len(x) // STEP) * STEP for x in spoken)])
-        flat = np.full(begins[-1], nothing, dtype=np.int32)
+        flat = np.full(begins[-1], nothing, dtype=np.int64)
         for x, b in zip(spoken, begins):
             flat[b:b + len(x)] = x
         best: list[dict] = [{} for _ in texts_]
@@ -284,7 +357,7 @@ def lots(docs: DataFrame, benchmark: DataFrame, rank: int, items_at_once: int, a
 HITS = "doc_id long, item_id long, cosine double, overlap double, first_word long, answered boolean"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, copy_share: float = 0.8,
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, copy_share: float = 0.8,
                  paraphrase_share: float = 0.65, rank: int = 256, items_at_once: int = 1000, answer_words: int = 3,
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, overlap, first_word, answered) for each document and item that it holds."""
@@ -297,7 +370,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, co
             search = Search(shared.value, cosine, copy_share, paraphrase_share)
             names = shared.value.item_ids
             for batch in batches:
-                found = search.hits(batch["text"].to_pylist())
+                found = search.hits_of(batch["text"].to_pylist())
                 rows = [(d, names[i], *h) for d, hits in zip(batch["doc_id"].to_pylist(), found)
                         for i, h in sorted(hits.items())]
                 if rows:
@@ -310,7 +383,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, co
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, copy_share: float = 0.8,
+def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, copy_share: float = 0.8,
                    paraphrase_share: float = 0.65, rank: int = 256, items_at_once: int = 1000, answer_words: int = 3,
                    item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
@@ -321,7 +394,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35,
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = Search(shared.value, cosine, copy_share, paraphrase_share)
             for batch in batches:
-                found = search.hits([t or "" for t in batch["text"].to_pylist()])
+                found = search.hits_of([t or "" for t in batch["text"].to_pylist()])
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
