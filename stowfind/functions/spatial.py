@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL_BITS = 4
+# Cells of a region's side, as a power of two; saved items are partitioned by region.
+REGION_BITS = 2
+REGION = ["region_x", "region_z"]
 EDGE = 1e-9
 
 
@@ -14,6 +17,12 @@ def cell(coordinate: Column) -> Column:
     return F.shiftright(coordinate, CELL_BITS)
 
 
+def with_region(places: DataFrame) -> DataFrame:
+    """Adds the region of a cell."""
+    return places.withColumns({
+        "region_x": F.shiftright("cell_x", REGION_BITS), "region_z": F.shiftright("cell_z", REGION_BITS)})
+
+
 def distance(dx: Column, dy: Column, dz: Column) -> Column:
     return F.hypot(F.hypot(dx.cast("double"), dy.cast("double")), dz.cast("double"))
 

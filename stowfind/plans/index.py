@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowfind.functions.descriptor import FIELD_WEIGHTS, search_fields, semantic_hash, weighted_texts
-from stowfind.functions.spatial import cell
+from stowfind.functions.spatial import REGION, cell, with_region
 from stowfind.functions.text import ALIASES, expand, tokenize
 from stowfind.operators.bm25 import corpus_stats, document_length, postings
 from stowfind.operators.joins import lookup_join
@@ -132,7 +132,7 @@ class SearchIndex:
         numbered = spark.read.parquet(f"{path}/descriptors")
         ids = numbered.select("desc_hash", "desc_id")
         items = lookup_join(self.items.withColumnRenamed("desc_id", "desc_hash"), ids, ["desc_hash"]).drop("desc_hash")
-        put(items, "items", ["world_id", "cell_x", "cell_z"], ["world_id", "cell_x", "cell_z"], [])
+        put(with_region(items), "items", REGION, ["world_id", "cell_x", "cell_z"], REGION)
         known = spread(numbered.drop("desc_hash"), "desc_id")
         text = SearchIndex.over(self.items, known, self.cells)
         put(text.vectors, "vectors", ["lead"], ["term"], ["lead"])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowfind.functions.spatial import distance, query_cells, within
+from stowfind.functions.spatial import REGION, distance, query_cells, with_region, within
 from stowfind.functions.text import ALIASES, expand, tokenize
 from stowfind.functions.vectors import dense_cosine, sparse_cosine
 from stowfind.operators import fusion, joins
@@ -22,6 +22,8 @@ from stowfind.session import scratch
 DIGITS = 12
 # Bytes of a window cell in a broadcast: seven numbers and the name of a world.
 WINDOW_BYTES = 128
+# Regions that may be named in a scan's filter.
+NAMED_REGIONS = 4_096
 
 
 @dataclass
@@ -52,11 +54,18 @@ def window_candidates(items: DataFrame, cells: DataFrame, queries: DataFrame, po
     windows = windows.join(open_cells, places, "left_semi")
     # A window has at most this many cells, so the number of queries bounds the windows.
     per_query = (2 * policy.radius // 16 + 2) ** 2
+    if set(REGION) <= set(items.columns):
+        # Saved items are partitioned by region: only the folders of the windows' regions are read.
+        windows = with_region(windows)
+        places = [*places, *REGION]
+        if query_count * (2 * policy.radius // 64 + 2) ** 2 <= NAMED_REGIONS:
+            asked = [F.struct(*[F.lit(r[c]).alias(c) for c in REGION]) for r in windows.select(*REGION).distinct().collect()]
+            items = items.filter(F.struct(*REGION).isin(asked) if asked else F.lit(False))
     near = lookup_join(items, windows, places,
                        fits=query_count * per_query * WINDOW_BYTES <= joins.MAX_BYTES)
     d = distance(F.col("x").cast("long") - F.col("ox"), F.col("y").cast("long") - F.col("oy"),
                  F.col("z").cast("long") - F.col("oz"))
-    return near.withColumn("distance", d).drop("ox", "oy", "oz")
+    return near.withColumn("distance", d).drop("ox", "oy", "oz", *REGION)
 
 
 def full_text_scores(index: SearchIndex, terms: Terms) -> DataFrame:

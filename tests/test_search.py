@@ -1,6 +1,8 @@
 import random
 import sqlite3
 
+import re
+
 import pytest
 from helpers import containers, item, items
 from pyspark.sql import functions as F
@@ -164,10 +166,60 @@ def test_plans(spark, small):
         assert "BroadcastNestedLoopJoin" not in text
     saved = index.items
     assert "PushedFilters: [IsNotNull(world_id)" in plan(find_root(saved, "O", 1, 64, 1))
+    few = hybrid_search(index, tables.queries(), Policy(radius=16), tables.decisions())
+    assert re.search(r"PartitionFilters: \[[^\n]*region_x[^\n]* IN ", plan(few.items))
+
+
+def test_dense_scores_are_never_invented(spark):
+    rows = [(1, 1, 0, 1, GEM), (2, 2, 0, 1, ROCK)]
+    index = world(spark, rows)
+    hashes = {r["material_key"]: r["desc_id"] for r in index.items.select("material_key", "desc_id").collect()}
+
+    def found(vectors, asked):
+        known = spark.createDataFrame([(hashes[k], v) for k, v in vectors], "desc_id string, vector array<double>")
+        result = hybrid_search(index, ask(spark, "zzz"), Policy(min_score=0.0), item_vectors=known,
+                               dense_queries=spark.createDataFrame([(1, asked)], "query_id long, vector array<double>"))
+        return [r["container_id"] for r in result.roots.collect()], result.summary.first()["status"]
+
+    gem, rock = "minecraft:diamond", "minecraft:granite"
+    assert found([(gem, [1.0, 0.0]), (rock, [-1.0, 0.0])], [1.0, 0.0]) == ([1], "SUCCESS")
+    assert found([(gem, [1.0, 0.0])], [1.0, 0.0]) == ([1], "SUCCESS")
+    assert found([(gem, [1.0, 0.0])], [0.0, 0.0]) == ([], "UNSUPPORTED_QUERY")
+    with pytest.raises(Exception, match="not finite"):
+        found([(gem, [float("nan"), 0.0])], [1.0, 0.0])
+
+
+def test_lookup_of_any_size_with_nested_columns(spark, monkeypatch):
+    from stowfind.operators.joins import lookup_join
+    from stowfind.plans.maintain import without
+
+    big = spark.createDataFrame([(i % 3, {"a": i}, [i]) for i in range(9)], "k long, m map<string,int>, v array<int>")
+    keys = spark.createDataFrame([(1, {"x": 1})], "k long, m2 map<string,int>")
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr("stowfind.operators.joins.MAX_BYTES", limit)
+        assert without(big, keys, ["k"]).count() == 6 and lookup_join(big, keys, ["k"]).count() == 3
+
+
+def test_terms_are_measured_over_all_queries(spark, monkeypatch):
+    queries = spark.createDataFrame([(i, f"word{i} x") for i in range(30)], "query_id long, query string")
+    monkeypatch.setattr("stowfind.operators.bm25.MAX_ROWS", 5)
+    terms = Terms.of(queries)
+    assert not terms.small and terms.queries == 30 and terms.leads == ["w", "x"] and terms.shortest == 1
+
+
+def test_pages_lose_no_tied_rows(spark):
+    from stowfind.operators.ordered import page
+
+    rows = spark.createDataFrame([(1, 1, w, i) for i, w in enumerate("abc")], "x int, z int, world_id string, id long")
+    order, seen, after = ["x", "z", "world_id", "id"], [], None
+    while got := page(rows, order, 1, after).collect()[:1]:
+        seen += [r["id"] for r in got]
+        after = tuple(got[0][c] for c in order)
+    assert seen == [0, 1, 2]
 
 
 def test_access_fails_closed_and_refresh(spark):
-    hits = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 13)], "player_id long, container_id long")
+    hits = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 13), (None, 13)], "player_id long, container_id long")
     decisions = spark.createDataFrame([(1, 10, "ALLOW"), (1, 10, "NOT_APPLICABLE"), (1, 11, "DENY"), (1, 12, None)],
                                       "player_id long, container_id long, decision string")
     assert {r["container_id"] for r in A.allowed(hits, decisions).collect()} == {10, 13}
