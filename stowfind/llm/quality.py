@@ -132,4 +132,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pai
 def quality_kept(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` that score ``cut_score`` or more, with their columns."""
     ranking = train(docs, labels, cut_score=cut_score, **options)
-    return docs.where(ranking.score(F.col("text")) >= cut_score)
+    # As a generated column the score is computed once; inside a filter, Spark would compute shared parts repeatedly.
+    scored = docs.select("*", F.inline(F.array(F.struct(ranking.score(F.col("text")).alias("__score")))))
+    return scored.where(F.col("__score") >= cut_score).drop("__score")
