@@ -35,7 +35,7 @@ from stowfind.session import scratch
 
 GRAM = 16
 # Bytes of text of a shard, of text for each bucket, and of contexts that a suffix array is built over.
-SHARD_BYTES, BUCKET_BYTES, LOT_BYTES = 8 << 20, 4 << 20, 1 << 20
+SHARD_BYTES, BUCKET_BYTES, LOT_BYTES = 4 << 20, 4 << 20, 1 << 20
 MOST_BUCKETS = 20_000
 # Bytes of bits about anchors that may be broadcast.
 SMALL_BYTES = 32 << 20
@@ -157,7 +157,8 @@ class Shard:
         self.at = total[1:] - np.repeat(before, counts) + self.begins[self.doc]
         self.first, self.last = unpack(row["reach"], np.uint8).reshape(2, -1).astype(np.int64)
         padded = np.concatenate([self.text, np.zeros(16, np.uint8)])
-        near = padded[self.at[:, None] + np.arange(16)].view("<u8") if len(self.at) else np.zeros((0, 2), "<u8")
+        grams = np.lib.stride_tricks.as_strided(padded, (len(self.text), 16), (1, 1))
+        near = grams[self.at].view("<u8") if len(self.at) else np.zeros((0, 2), "<u8")
         self.hash = gram_hashes(near.T, 0, 1)
         self.bucket = (self.hash >> np.uint64(20)) % np.uint64(buckets)
         self.order = np.lexsort((self.hash, self.bucket))
