@@ -3,8 +3,9 @@
 1. Document frequencies of words are counted over the whole corpus: exactly for words of the benchmark, by a hash of
    the word for all others.
 2. Each benchmark item is a TF-IDF passage. A randomised SVD of these passages, whose products are summed by Spark over
-   parts of the items, gives a latent space of at most ``rank`` dimensions. Items are taken ``items_at_once`` at a time,
-   which bounds what is broadcast; each lot reads the documents once.
+   parts of the items, gives a latent space of at most ``rank`` dimensions. A lot has at most ``items_at_once`` items and
+   never more than ``rank``, so its space is complete and latent products are the exact ones. This bounds what is
+   broadcast as well; each lot reads the documents once.
 3. Documents are cut to overlapping windows of a few lengths. A window's cosine to an item is its latent product over
    its own norm. A window whose words cannot reach the least cosine with any item, by the most that each word can add,
    is not projected.
@@ -341,17 +342,18 @@ class Search:
 
 def lots(docs: DataFrame, benchmark: DataFrame, rank: int, items_at_once: int, answer_words: int,
          item_id: str, item_text: str) -> Iterator[Lot]:
-    """Lots of at most ``items_at_once`` items, one after another, from a table that Spark numbers and cuts."""
+    """Lots of at most ``items_at_once`` and ``rank`` items, one after another, from a table that Spark deals out."""
     rows = texts(docs)
     items = (benchmark.where(F.col(item_text).isNotNull())
              .select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("words")))
-    n = items.count()
-    parts = max(1, -(-n // items_at_once))
+    n, most = items.count(), min(items_at_once, rank)
+    parts = max(1, -(-n // most))
     items = items.withColumn("lot", F.pmod(F.xxhash64("item", "words"), F.lit(parts)))
     for k in range(parts):
         lot = [(r["item"], r["words"]) for r in items.where(F.col("lot") == k).orderBy("item", "words").collect()]
-        if (prepared := prepare(rows, lot, rank, answer_words)) is not None:
-            yield prepared
+        for low in range(0, len(lot), most):
+            if (prepared := prepare(rows, lot[low:low + most], rank, answer_words)) is not None:
+                yield prepared
 
 
 HITS = "doc_id long, item_id long, cosine double, overlap double, first_word long, answered boolean"

@@ -496,6 +496,14 @@ def test_decontamination(spark):
     assert decontamination.decontaminated(frame, benchmark.limit(0)).count() == len(docs)
 
 
+def test_more_items_than_dimensions_are_all_found(spark):
+    items = [(k, words(20, 4000 + k, 4000)) for k in range(40)]
+    docs = [(k, f"{words(60, 8000 + k, 4000)} {t} {words(60, 9000 + k, 4000)}") for k, t in items]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string"), rank=8)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(k, k) for k, _ in items]
+
+
 def test_longest_common_subsequence():
     draw = random.Random(9)
     for _ in range(60):
