@@ -7,8 +7,10 @@
    never more than ``rank``, so its space is complete and latent products are the exact ones. This bounds what is
    broadcast as well; each lot reads the documents once.
 3. Documents are cut to overlapping windows of a few lengths. A window's cosine to an item is its latent product over
-   its own norm. A window whose words cannot reach the least cosine with any item, by the most that each word can add,
-   is not projected.
+   its own norm. It is a candidate by the least cosine, or by a product as large as that of any window which holds
+   what verification asks for, made of the item's words of least weight; so a passage of an item's length that would be
+   accepted is a candidate in any surroundings. A window whose words cannot reach either with any item, by the most that
+   each word can add for the items of a part, is not projected.
 4. A candidate is verified word by word: the longest common subsequence of the item and the text around the window must
    hold ``copy_share`` of the item's words, or, for a paraphrase, ``paraphrase_share`` and the item's answer: the words
    of highest IDF of its last sentence.
@@ -21,6 +23,7 @@ one of largest overlap, then the earliest.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +45,10 @@ STEP = 8
 BYTES_AT_ONCE = 1 << 20
 TEXTS_AT_ONCE = 1000
 BLOCKS_AT_ONCE = 4096
+# Where items are cut to parts that share a bound, blocks that are bounded at once, and room for single precision.
+EDGES = (1, 2, 4, 8)
+BLOCKS_OF_BOUND = 1 << 15
+ROOM = 1e-3
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -229,6 +236,21 @@ def window_length(words: int) -> int:
     return -(-(words + STEP - 1) // step) * step
 
 
+def least_product(added: list[float], answer: list[float], copy_share: float, paraphrase_share: float) -> float:
+    """The least product of an item and a window that holds a copy, or a paraphrase with the answer.
+
+    ``added`` is what each place of the item adds, ``answer`` what each place of its answer does. The places of least
+    weight are those kept, besides the answer's.
+    """
+    def kept(places: list[float], share: float, sure: int = 0) -> float:
+        return sum(sorted(places)[:max(0, math.ceil(share * len(added) - 1e-9) - sure)])
+
+    rest = list(added)
+    for x in answer:
+        rest.remove(x)
+    return min(kept(added, copy_share), sum(answer) + kept(rest, paraphrase_share, len(answer)))
+
+
 def last_sentence(text: str) -> str:
     parts = [p for p in text.replace("\n", " ").replace("!", ".").replace("?", ".").split(".") if p.strip()]
     return parts[-1] if parts else ""
@@ -256,28 +278,56 @@ class Search:
         self.numbers, self.n_own = Numbers(lot.own), len(lot.own)
         self.weight = np.append(lot.idf, 0.0)  # the last number stands for no word
         self.square = self.weight ** 2
-        # The most that a word can add to the product with any item.
-        largest = np.zeros(len(self.weight))
-        for item in lot.items:
+        # What each word adds to the product with an item; the least product of a window that holds as much of the item
+        # as verification asks for, with room for single precision.
+        adds, self.least = [], np.zeros(len(lot.items))
+        for k, (item, answer) in enumerate(zip(lot.items, lot.answers)):
             w, tf = np.unique(item, return_counts=True)
-            x = tf * lot.idf[w]
-            largest[w] = np.maximum(largest[w], x / np.sqrt((x * x).sum()))
-        self.most = largest * self.weight
+            x = tf * lot.idf[w] ** 2
+            adds.append((w, x / np.sqrt((tf * x).sum())))
+            of = dict(zip(w.tolist(), adds[k][1].tolist()))
+            self.least[k] = (1 - ROOM) * least_product([of[i] for i in item.tolist()], [of[i] for i in answer.tolist() if i in of],
+                                                       copy_share, paraphrase_share)
+        self.bounds = [self.bound(items[np.argsort(self.least[items])], adds) for _, items in lot.lengths]
         self.basis = np.vstack([lot.basis, np.zeros((1, lot.basis.shape[1]), np.float32)])
         self.basis[:-1] *= lot.idf[:self.n_own, None].astype(np.float32)
 
+    def bound(self, items: np.ndarray, adds: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The most that words add with any item of a part, and a part's least product; small parts for small ones."""
+        edges = [0, *(e for e in EDGES if e < len(items)), *range(EDGES[-1] + EDGES[-1], len(items), EDGES[-1])]
+        parts = [p for p in np.split(items, edges[1:]) if len(p)]
+        most = np.zeros((len(self.weight), len(parts)), np.float32)
+        for i, part in enumerate(parts):
+            for k in part:
+                w, x = adds[k]
+                most[w, i] = np.maximum(most[w, i], x)
+        return most, np.array([self.least[p].min() for p in parts])
+
     def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(first word, window length, item, cosine) over texts padded to whole blocks."""
-        blocks = numbers.reshape(-1, STEP)
+        every = numbers.reshape(-1, STEP)
+        longest = max((length for length, _ in self.lot.lengths), default=0) // STEP
+        for low in range(0, len(every), BLOCKS_OF_BOUND):
+            blocks = every[low:low + BLOCKS_OF_BOUND + longest]
+            for at, *found in self.candidates_of(blocks, min(BLOCKS_OF_BOUND, len(every) - low)):
+                yield low * STEP + at, *found
+
+    def candidates_of(self, blocks: np.ndarray, n_starts: int) -> Iterator[tuple[int, int, int, float]]:
+        """``candidates`` that begin in the first ``n_starts`` blocks."""
         n = len(blocks)
         norm = np.append(0.0, self.square[blocks].sum(axis=1).cumsum())
-        most = np.append(0.0, self.most[blocks].sum(axis=1).cumsum())
-        for length, items in self.lot.lengths:
+        own = blocks < self.n_own
+        spoken, place = blocks[own], np.append(0, own.sum(axis=1).cumsum())
+        for (length, items), (most, least) in zip(self.lot.lengths, self.bounds):
             span = length // STEP
-            start = np.arange(n)
+            start = np.arange(n_starts)
             stop = np.minimum(start + span, n)
             mass = norm[stop] - norm[start]
-            live = np.flatnonzero((most[stop] - most[start] >= self.cosine * np.sqrt(mass)) & (mass > 0))
+            added = np.zeros((len(spoken) + 1, most.shape[1]))
+            np.cumsum(most[spoken], axis=0, out=added[1:])
+            reach = added[place[stop]] - added[place[start]]
+            enough = np.minimum(self.cosine * np.sqrt(mass)[:, None] * (1 - ROOM), least)
+            live = np.flatnonzero((reach >= enough).any(axis=1) & (mass > 0))
             queries = self.lot.queries[items]
             for a in range(0, len(live), BLOCKS_AT_ONCE):
                 part = live[a:a + BLOCKS_AT_ONCE]
@@ -294,8 +344,9 @@ class Search:
                 latent = sums[first + (stop[part] - part)] - sums[first]
                 # A window is at least as long as its image; both bound its norm, which counts repeated words.
                 norms = np.maximum(np.sqrt(mass[part]), np.sqrt((latent * latent).sum(axis=1)))
-                near = (latent @ queries.T) / norms[:, None]
-                i, j = np.nonzero(near >= self.cosine)
+                product = latent @ queries.T
+                near = product / norms[:, None]
+                i, j = np.nonzero((near >= self.cosine) | (product >= self.least[items]))
                 yield from zip((part[i] * STEP).tolist(), [length] * len(i), items[j].tolist(), near[i, j].tolist())
 
     def hits_of(self, texts_: list[str]) -> list[dict]:
@@ -359,7 +410,7 @@ def lots(docs: DataFrame, benchmark: DataFrame, rank: int, items_at_once: int, a
 HITS = "doc_id long, item_id long, cosine double, overlap double, first_word long, answered boolean"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, copy_share: float = 0.8,
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, copy_share: float = 0.8,
                  paraphrase_share: float = 0.65, rank: int = 256, items_at_once: int = 1000, answer_words: int = 3,
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, overlap, first_word, answered) for each document and item that it holds."""
@@ -385,7 +436,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, cop
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, copy_share: float = 0.8,
+def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, copy_share: float = 0.8,
                    paraphrase_share: float = 0.65, rank: int = 256, items_at_once: int = 1000, answer_words: int = 3,
                    item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""

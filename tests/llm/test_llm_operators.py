@@ -504,6 +504,36 @@ def test_more_items_than_dimensions_are_all_found(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(k, k) for k, _ in items]
 
 
+@pytest.mark.parametrize("share", [0.66, 0.7, 0.75, 0.8])
+def test_paraphrases_inside_other_text_are_candidates(share):
+    draw, vocab = random.Random(4), [f"w{i}" for i in range(3000)]
+    items = [[draw.choice(vocab[:40]) if draw.random() < 0.4 else draw.choice(vocab) for _ in range(draw.randrange(18, 60))]
+             for _ in range(60)]
+    own = np.unique(decontamination.word_hashes([" ".join(x) for x in items])[0])
+    of = decontamination.Numbers(own)
+    numbers = [of.of(decontamination.word_hashes([" ".join(x)])[0]) for x in items]
+    idf = np.full(len(own) + decontamination.OTHERS, 8.0)
+    for i, w in enumerate(vocab):
+        idf[of.of(decontamination.word_hashes([w])[0])] = 0.3 if i < 40 else 3 + i % 6
+    rows = np.zeros((len(items), len(own)))
+    for row, n in zip(rows, numbers):
+        np.add.at(row, n, idf[n])
+    rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    basis = np.linalg.svd(rows, full_matrices=False)[2].T
+    sizes = np.array([decontamination.window_length(len(n)) for n in numbers])
+    lot = decontamination.Lot(list(range(len(items))), numbers, [n[-3:] for n in numbers], own, idf,
+                              basis.astype(np.float32), (rows @ basis).astype(np.float32),
+                              [(int(s), np.flatnonzero(sizes == s)) for s in np.unique(sizes)])
+    texts = []
+    for k, (x, n) in enumerate(zip(items, numbers)):
+        # The words of most weight are those that a paraphrase replaces; the answer is the last three words.
+        gone = sorted(range(len(x) - 3), key=lambda i: -idf[n[i]])[:len(x) - math.ceil(share * len(x))]
+        around = [[f"other{draw.randrange(10**6)}" for _ in range(60 + k % 8)] for _ in range(2)]
+        texts.append(" ".join([*around[0], *(f"new{i}" if i in gone else w for i, w in enumerate(x)), *around[1]]))
+    found = decontamination.Search(lot, 0.35, 0.8, 0.65).hits(texts)
+    assert [k for k, hits in enumerate(found) if k not in hits] == []
+
+
 def test_longest_common_subsequence():
     draw = random.Random(9)
     for _ in range(60):
