@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowfind.llm import variants
+from stowfind.llm.alignment import cross_alignment
 from stowfind.llm.common import table
 from stowfind.llm.decontamination import contaminated
 from stowfind.llm.embeddings import vector_links
+from stowfind.llm.languages import languages
 from stowfind.llm.licenses import license_scan
 from stowfind.llm.lines import line_dedup
 from stowfind.llm.packing import pack_documents
@@ -84,3 +87,21 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op6_repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = repeats_removed(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(table(spark, folder, "documents"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+ORACLE["op12_spelling_variants"] = variants.SQL
+
+
+@query
+def op13_cross_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_alignment(table(spark, folder, "documents"))
