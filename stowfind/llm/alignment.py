@@ -24,11 +24,12 @@ repeat and count again; an empty table gives none. Strings of special tokens are
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import os
 import re
+import sys
+import types
 from collections import Counter
 from collections.abc import Iterator
 
@@ -194,9 +195,15 @@ class Aligner:
                 self.letters -= len(u)
 
 
-@functools.lru_cache(maxsize=1)
 def aligner(a_name: str, b_name: str) -> Aligner:
-    return Aligner(a_name, b_name)
+    """One in each worker process, whose memory of units serves later tasks too.
+
+    This module travels by value, so each task has globals of its own; the process's table of modules is shared.
+    """
+    kept = sys.modules.setdefault("stowfind-aligners", types.ModuleType("stowfind-aligners"))
+    if getattr(kept, "names", None) != (a_name, b_name):
+        kept.names, kept.tool = (a_name, b_name), Aligner(a_name, b_name)
+    return kept.tool
 
 
 class Block:
