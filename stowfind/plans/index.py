@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from stowfind.operators.bm25 import corpus_stats, document_length, postings
 from stowfind.operators.joins import lookup_join
 from stowfind.session import spread
 
+# Saved descriptors are dealt to so many folders by their hash.
+BUCKETS, BUCKET = 64, ["bucket"]
 PLACE = ["world_id", "x", "y", "z", "cell_x", "cell_z", "block_type"]
 
 def placed(containers: DataFrame) -> DataFrame:
@@ -21,6 +24,10 @@ def placed(containers: DataFrame) -> DataFrame:
     return containers.withColumn("cell_x", cell(F.col("x"))).withColumn("cell_z", cell(F.col("z")))
 
 
+def with_bucket(descriptors: DataFrame) -> DataFrame:
+    return descriptors.withColumn("bucket", F.pmod(F.xxhash64("desc_hash"), F.lit(BUCKETS)).cast("int"))
+
+
 def distinct_descriptors(items: DataFrame, descriptors: DataFrame | None = None) -> DataFrame:
     """One row per descriptor with the number of items that share it.
 
@@ -77,6 +84,7 @@ class SearchIndex:
     vectors      desc_id, term, weight, norm, lead
     stats        one row: n_docs, avg_len
     cells        world_id, cell_x, cell_z, available
+    containers   container_id and place of every container, with or without items, and what else it came with
 
     ``desc_id`` is the semantic hash in a lazy index and a number in a saved one.
     """
@@ -87,6 +95,7 @@ class SearchIndex:
     vectors: DataFrame
     stats: DataFrame
     cells: DataFrame
+    containers: DataFrame | None = None
 
     @classmethod
     def build(cls, items: DataFrame, containers: DataFrame, cells: DataFrame,
@@ -102,14 +111,17 @@ class SearchIndex:
             items = items.withColumn("material_key", F.col("descriptor.material_key"))
         slim = items.select("item_id", "container_id", "path", "amount", "material_key",
                             F.col("desc_hash").alias("desc_id"))
-        here = placed(containers).select("container_id", *PLACE)
-        return cls.over(slim.join(here, "container_id"), distinct_descriptors(items, descriptors), cells)
+        known = placed(containers)
+        here = known.select("container_id", *PLACE)
+        return cls.over(slim.join(here, "container_id"), distinct_descriptors(items, descriptors), cells, known)
 
     @classmethod
-    def over(cls, items: DataFrame, descriptors: DataFrame, cells: DataFrame) -> SearchIndex:
+    def over(cls, items: DataFrame, descriptors: DataFrame, cells: DataFrame,
+             containers: DataFrame | None = None) -> SearchIndex:
         documents = search_documents(descriptors)
         stats = corpus_stats(documents, document_length(FIELDS), F.col("copies"))
-        return cls(items, descriptors, descriptor_postings(documents), sparse_vectors(descriptors), stats, cells)
+        return cls(items, descriptors, descriptor_postings(documents), sparse_vectors(descriptors), stats, cells,
+                   containers)
 
     def save(self, path: str) -> SearchIndex:
         """Write all tables and return the index that reads them.
@@ -128,8 +140,8 @@ class SearchIndex:
 
         numbered = self.descriptors.withColumnRenamed("desc_id", "desc_hash").withColumn(
             "desc_id", F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").parquet(f"{path}/descriptors")
-        numbered = spark.read.parquet(f"{path}/descriptors")
+        with_bucket(numbered).write.mode("overwrite").partitionBy(*BUCKET).parquet(f"{path}/descriptors")
+        numbered = spark.read.parquet(f"{path}/descriptors").drop(*BUCKET)
         ids = numbered.select("desc_hash", "desc_id")
         items = lookup_join(self.items.withColumnRenamed("desc_id", "desc_hash"), ids, ["desc_hash"]).drop("desc_hash")
         put(with_region(items), "items", REGION, ["world_id", "cell_x", "cell_z"], REGION)
@@ -139,9 +151,23 @@ class SearchIndex:
         put(text.postings, "postings", ["lead"], ["token"], ["lead"])
         text.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.cells.write.mode("overwrite").parquet(f"{path}/cells")
+        if self.containers is not None:
+            put(with_region(self.containers), "containers", REGION, ["container_id"], REGION)
         return SearchIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchIndex:
-        names = ("items", "descriptors", "postings", "vectors", "stats", "cells")
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in names))
+        """The saved tables; rows of nulls only keep a partition in place and are dropped."""
+
+        def get(name: str, key: str) -> DataFrame:
+            return spark.read.parquet(f"{path}/{name}").filter(F.col(key).isNotNull())
+
+        plain = {n: spark.read.parquet(f"{path}/{n}") for n in ("stats", "cells")}
+        try:
+            containers = get("containers", "container_id").drop(*REGION)
+        except AnalysisException as failure:
+            if failure.getCondition() != "PATH_NOT_FOUND":
+                raise
+            containers = None  # saved from items alone
+        return cls(get("items", "item_id"), get("descriptors", "desc_id").drop(*BUCKET), get("postings", "desc_id"),
+                   get("vectors", "desc_id"), plain["stats"], plain["cells"], containers)
