@@ -335,10 +335,10 @@ def v04(t):
         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id,
                    round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS score
-            FROM embeddings q, embeddings v WHERE q.vec_id < 10)) WHERE rank <= 10""")
+            FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
 def v05(t):
     vectors = t.read("embeddings")
-    questions = vectors.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    questions = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return dense_top_k(vectors, questions, 10).select("query_id", "vec_id", r6("score"), "rank")
 
 

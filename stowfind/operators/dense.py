@@ -9,12 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowfind.operators.ordered import top_n
 
-QUERY_BLOCK = 2_048
+QUERY_BLOCK, VECTOR_SLICE = 2_048, 32_768
+QUERIES_AT_ONCE = 256  # rows of scores in memory at once
 DIGITS = 12
 
 
@@ -22,58 +24,65 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, min_score: float
                 key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact ``k`` nearest rows per query by cosine: (query_id, key, score, rank).
 
-    Queries are shipped to the tasks in blocks of bounded size. Each Arrow batch
-    is one matrix product and a task sends on only its best ``k`` per query, so
-    the shuffle carries k rows per query and task and never all pairs.
+    Queries are dealt to blocks and vectors to slices of about ``QUERY_BLOCK`` and ``VECTOR_SLICE`` rows. Each pair of a
+    block and a slice is one task's matrix product, which sends on its best ``k`` per query; the partial lists
+    are merged by a limited window. Nothing of the tables passes the driver but their two counts.
     """
-    spark = vectors.sparkSession
-    ids = queries.select("query_id", "vector")
-    total = ids.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    parts = []
-    for block in range(blocks):
-        mine = ids if blocks == 1 else ids.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = mine.orderBy("query_id").toPandas()
-        if rows.empty:
-            continue
-        matrix = np.stack(rows["vector"].to_list()).astype("float64")
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy("int64"), matrix))
-        parts.append(_block_top_k(vectors.select(key, vector), shared, k, min_score, key, vector))
-    schema = f"query_id long, {key} long, score double"
-    hits = parts[0] if parts else spark.createDataFrame([], schema)
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    slices = max(1, -(-vectors.count() // VECTOR_SLICE))
+
+    def every(n: int, name: str):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    left = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"),
+                          F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"), every(blocks, "block"))
+    right = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), every(slices, "of_slice"),
+                           F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("of_block"))
+
+    def search(found: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = [best_of(found, asked, k, min_score)] if found.num_rows and asked.num_rows else [([], [], [])]
+        q, v, s = map(np.concatenate, zip(*parts))
+        return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())],
+                        ["query_id", key, "score"])
+
+    hits = left.groupBy("slice", "block").cogroup(right.groupBy("of_slice", "of_block")).applyInArrow(
+        search, f"query_id long, {key} long, score double")
     return top_n(hits, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
-def _block_top_k(vectors, shared, k, min_score, key, vector):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = shared.value
-        q_norm = np.sqrt((q * q).sum(1))
-        best_ids = np.zeros((len(q), 0), dtype="int64")
-        best = np.zeros((len(q), 0))
-        for batch in batches:
-            if batch.empty:
-                continue
-            m = np.stack(batch[vector].to_list()).astype("float64")
-            if m.shape[1] != q.shape[1]:
-                raise ValueError(f"vectors of {m.shape[1]} against queries of {q.shape[1]} dimensions")
-            if not np.isfinite(m).all():
-                raise ValueError("a vector holds a value that is not finite")
-            norms = np.outer(q_norm, np.sqrt((m * m).sum(1)))
-            dots = q @ m.T
-            scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-            best = np.hstack([best, np.round(np.clip(scores, -1.0, 1.0), DIGITS)])
-            ids = np.broadcast_to(batch[key].to_numpy("int64"), scores.shape)
-            best_ids = np.hstack([best_ids, ids])
-            order = np.lexsort((best_ids, -best))[:, :k]
-            best = np.take_along_axis(best, order, 1)
-            best_ids = np.take_along_axis(best_ids, order, 1)
-        rows, columns = np.nonzero(best >= min_score)
-        yield pd.DataFrame({"query_id": query_ids[rows], key: best_ids[rows, columns],
-                            "score": best[rows, columns]})
-
-    return vectors.mapInPandas(search, f"query_id long, {key} long, score double")
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    flat = column.combine_chunks()
+    sizes = np.unique(flat.value_lengths().to_numpy(zero_copy_only=False)) if len(flat) else np.zeros(1)
+    if flat.null_count or len(sizes) != 1:
+        raise ValueError(f"a vector is null or of another dimension than others: {sizes.tolist()}")
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    if not np.isfinite(values).all():
+        raise ValueError("a vector holds a value that is not finite")
+    return values.reshape(len(flat), int(sizes[0]))
+
+
+def best_of(found: pa.Table, asked: pa.Table, k: int, min_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores) of the best ``k`` rows for each query; ties go to smaller ids."""
+    q, m = matrix(asked["q"]), matrix(found["v"])
+    if m.shape[1] != q.shape[1]:
+        raise ValueError(f"vectors of {m.shape[1]} against queries of {q.shape[1]} dimensions")
+    ids, query_ids = found["id"].to_numpy(), asked["query_id"].to_numpy()
+    m_norm = np.sqrt((m * m).sum(1))
+    out = []
+    for at in range(0, len(q), QUERIES_AT_ONCE):
+        part = q[at:at + QUERIES_AT_ONCE]
+        norms = np.outer(np.sqrt((part * part).sum(1)), m_norm)
+        dots = part @ m.T
+        scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+        scores = np.round(np.clip(scores, -1.0, 1.0), DIGITS)
+        n = min(k, scores.shape[1])
+        least = np.maximum(-np.partition(-scores, n - 1, axis=1)[:, n - 1], min_score)
+        for i, row in enumerate(scores):
+            near = np.flatnonzero(row >= least[i])
+            near = near[np.lexsort((ids[near], -row[near]))[:k]]
+            out.append((np.full(len(near), query_ids[at + i]), ids[near], row[near]))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:

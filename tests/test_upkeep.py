@@ -167,3 +167,28 @@ def test_clicks_and_drags(spark):
     events = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], kind)
     got = {(r["key"], r["kind"]) for r in feed.changes(events).collect()}
     assert got == {(1, "dirty"), (3, "dirty"), (5, "dirty"), (8, "transfer"), (9, "transfer"), (10, "delete")}
+
+
+def test_dense_top_k_over_blocks_and_slices(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(150)] + [(200, [0.0] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = table.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+    def cosine(a, b):
+        norm = np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(b, b))
+        return round(float(np.clip(np.dot(a, b) / norm, -1, 1)), 12) if norm else 0.0
+
+    want = []
+    for q, a in rows:
+        if q % 10 == 0:
+            best = sorted((-cosine(a, b), i) for i, b in rows)[:7]
+            want += [(q, i, s) for s, i in best if -s >= 0.5]
+    monkeypatch.setattr("stowfind.operators.dense.QUERY_BLOCK", 5)
+    monkeypatch.setattr("stowfind.operators.dense.VECTOR_SLICE", 40)
+    monkeypatch.setattr("stowfind.operators.dense.QUERIES_AT_ONCE", 2)
+    got = dense_top_k(table, asked, 7, min_score=0.5)
+    assert sorted((r["query_id"], r["vec_id"]) for r in got.collect()) == sorted((q, i) for q, i, _ in want)
+    assert dense_top_k(table.limit(0), asked, 7).count() == dense_top_k(table, asked.limit(0), 7).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        dense_top_k(table.unionByName(spark.createDataFrame([(999, [1.0])], table.schema)), asked, 2).collect()
