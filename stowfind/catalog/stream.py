@@ -14,7 +14,7 @@ from stowfind.session import shared_folder
 from stowfind.sources.store import TableStore
 from stowfind.sources.tables import Tables, epoch_ms
 from stowfind.streaming import feed
-from stowfind.streaming.debounce import coalesce, coalesce_stream
+from stowfind.streaming.debounce import close_feed, closing, coalesce, coalesce_stream
 from stowfind.streaming.sinks import ROCKSDB, run_to_table, upsert_stream
 
 CHUNK = 96
@@ -106,17 +106,24 @@ def event_stream(t: Tables):
                        F.col("event_id").alias("seq"), kind.alias("kind"))
 
 
-@query("t02_debounce_stream", sql("bursts", f"""
-    SELECT b.* FROM bursts b, (SELECT max({EPOCH_MS}) - {STREAM_LATE} AS mark FROM events)
-    WHERE (claim_tick + 1) * {STREAM_TICK} <= mark""", _BURSTS))
+@query("t02_debounce_stream", sql("bursts", "SELECT * FROM bursts", _BURSTS))
 def t02_stream(t):
+    """The whole feed, then rows that close it; both runs share one checkpoint, as a restarted stream does."""
     # A session of its own, as the state store is a setting.
     own = t.spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     t = Tables(own, t.folder)
     place = f"{shared_folder(t.spark)}/stowfind-stream-{uuid.uuid4().hex}"
-    bursts = coalesce_stream(event_stream(t), STREAM_TICK, f"{STREAM_LATE} milliseconds")
-    return run_to_table(bursts, f"{place}/out", f"{place}/checkpoint")
+    last = t.read("events").agg(F.max(epoch_ms(F.col("ts")))).first()[0] or 0
+    # The first row comes with the feed and changes nothing, so that the folder is there.
+    close_feed(t.spark, f"{place}/closing", [0])
+    feed_end = last + STREAM_LATE + 100 * STREAM_TICK
+    for more in ([], [feed_end], [feed_end + STREAM_TICK], [feed_end + 2 * STREAM_TICK]):
+        close_feed(t.spark, f"{place}/closing", more)
+        whole = event_stream(t).unionByName(closing(t.spark, f"{place}/closing"))
+        bursts = coalesce_stream(whole, STREAM_TICK, f"{STREAM_LATE} milliseconds")
+        found = run_to_table(bursts, f"{place}/out", f"{place}/checkpoint")
+    return found
 
 
 @query("s06_cell_upsert_stream", sql("cells", """

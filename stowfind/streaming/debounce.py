@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -21,6 +21,9 @@ SNAPSHOT_DELAY = 1
 TRANSFER_DELAY = 5
 TRANSFER_CAP = 20
 
+# The key of rows that only move time on; null would turn the keys beside it into floating-point numbers.
+CLOSING = -(1 << 63)
+FEED = "key long, ts timestamp, seq long, kind string"
 WORK = "key long, start_tick long, claim_tick long, revision long, action string, events long"
 
 
@@ -131,7 +134,8 @@ class Debouncer(StatefulProcessor):
             work = (start, due_tick(kind, tick, start), kind, revision, events)
         self.work.update(work)
         self.seen.update((revision,))
-        self.handle.registerTimer((work[1] + 1) * self.tick_ms)
+        # A timer that is due already would lie behind the watermark, where timers are no longer looked for.
+        self.handle.registerTimer(max((work[1] + 1) * self.tick_ms, timerValues.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.work.exists():
@@ -142,17 +146,34 @@ class Debouncer(StatefulProcessor):
         pass
 
 
+def closing(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of rows that only move time on, from a folder that ``close_feed`` writes to."""
+    return spark.readStream.schema(FEED).parquet(folder)
+
+
+def close_feed(spark: SparkSession, folder: str, times: list[int]) -> None:
+    """Add rows of no real key at the given times (milliseconds), one file for each."""
+    for at in times:
+        spark.range(1).select(F.lit(CLOSING).alias("key"), F.timestamp_millis(F.lit(at)).alias("ts"),
+                              F.lit(0).cast("long").alias("seq"), F.lit("dirty").alias("kind")
+                              ).write.mode("append").parquet(folder)
+
+
 def coalesce_stream(changes: DataFrame, tick_ms: int = 50, lateness: str = "10 seconds") -> DataFrame:
     """Streaming counterpart of ``coalesce`` for rows (key, ts, seq, kind).
 
     A windowed aggregation first reduces each key to one row per tick, with
     partial aggregation before the shuffle, and lets the watermark put ticks in
-    order; the state behind it is a single open burst per key.
+    order; the state behind it is a single open burst per key. Bursts that are
+    open when a feed ends come out once later rows move the watermark past them;
+    rows of the key ``CLOSING`` do only that.
     """
     ticks = (
         changes.withWatermark("ts", lateness)
         .groupBy("key", F.window("ts", f"{tick_ms} milliseconds"))
         .agg(F.max_by("kind", "seq").alias("kind"), F.count(F.lit(1)).alias("n"))
         .select("key", F.floor(F.unix_millis("window.start") / tick_ms).alias("tick"), "kind", "n"))
-    return ticks.groupBy("key").transformWithStateInPandas(
+    # A filter before the state would be pushed below the watermark, which would not see the closing rows.
+    work = ticks.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Debouncer(tick_ms), outputStructType=WORK, outputMode="Append", timeMode="EventTime")
+    return work.filter(F.col("key") != CLOSING)
