@@ -1,7 +1,9 @@
 """stowfind: hybrid retrieval over nested, spatially placed inventories, on Spark.
 
-Queries, items, containers and changes are DataFrames; every operator takes
-DataFrames and returns a lazy DataFrame.
+Queries, items, containers and changes are DataFrames; operators take
+DataFrames and return DataFrames. Most are lazy; those that measure, iterate
+or write tables of their own (nested walks, searches, index changes) run jobs
+when they are called.
 """
 __version__ = "0.1.0"
 
