@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -133,6 +133,10 @@ class Lot:
     queries: np.ndarray  # items by latent dimensions, unit rows
     lengths: list[tuple[int, np.ndarray]]  # window length in words, items looked for in such windows
 
+    def parts(self) -> tuple:
+        """The fields alone: a broadcast object of a class of this package would need the package on executors."""
+        return tuple(getattr(self, f.name) for f in fields(self))
+
 
 def word_frequencies(rows: DataFrame, own: np.ndarray) -> tuple[int, np.ndarray]:
     """Documents, and the number that hold each word number: ``len(own) + OTHERS`` numbers, whatever the corpus."""
@@ -417,11 +421,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, co
     spark = docs.sparkSession
     out = None
     for lot in lots(docs, benchmark, rank, items_at_once, answer_words, item_id, item_text):
-        shared = spark.sparkContext.broadcast(lot)  # bounded by items_at_once
+        shared = spark.sparkContext.broadcast(lot.parts())  # bounded by items_at_once
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Search(shared.value, cosine, copy_share, paraphrase_share)
-            names = shared.value.item_ids
+            search = Search(Lot(*shared.value), cosine, copy_share, paraphrase_share)
+            names = search.lot.item_ids
             for batch in batches:
                 found = search.hits_of(batch["text"].to_pylist())
                 rows = [(d, names[i], *h) for d, hits in zip(batch["doc_id"].to_pylist(), found)
@@ -442,10 +446,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35,
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
     spark = docs.sparkSession
     for lot in lots(docs, benchmark, rank, items_at_once, answer_words, item_id, item_text):
-        shared = spark.sparkContext.broadcast(lot)
+        shared = spark.sparkContext.broadcast(lot.parts())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = Search(shared.value, cosine, copy_share, paraphrase_share)
+            search = Search(Lot(*shared.value), cosine, copy_share, paraphrase_share)
             for batch in batches:
                 found = search.hits_of([t or "" for t in batch["text"].to_pylist()])
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))

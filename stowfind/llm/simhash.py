@@ -173,20 +173,3 @@ def simhash_components(docs: DataFrame, distance: int = 3, shingle: int = 3, blo
     place = (nodes.join(roots.join(least, "root"), "fp", "left")
              .select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return rows.join(scratch(place, "placed-fingerprints"), "fp").select("doc_id", "fp", "component_id")
-
-
-def near_duplicates_dropped(docs: DataFrame, distance: int = 3, shingle: int = 5, blocks: int = 6) -> DataFrame:
-    """The rows of ``docs``, one document of each group: the one with the smallest id.
-
-    Rows with a null id are kept, as no id can stand for them. Of rows that repeat an id one is kept.
-    """
-    placed = simhash_components(docs, distance, shingle, blocks)
-    kept = placed.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    # Kept ids grow with the documents, so both are dealt out by id at every size.
-    kept = scratch(kept, "kept").hint("merge")
-    rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-    often = scratch(placed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-                    .select(F.col("doc_id").alias("__often")), "repeated-ids")
-    once = rows.join(often, rows["doc_id"] == often["__often"], "left_anti")
-    again = rows.join(often, rows["doc_id"] == often["__often"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -1,10 +1,14 @@
 """The pipeline's near-duplicate stage against all pairs."""
 
 import functools
+import pickle
+import pickletools
 import random
 
+import numpy as np
 import pytest
 
+from stowfind.llm.decontamination import Lot
 from stowfind.llm.near_copies import near_duplicates_dropped
 
 
@@ -82,3 +86,11 @@ def test_nothing_and_a_very_long_text(spark):
     long = " ".join(str(i) for i in range(700_000))
     frame = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string")
     assert {r["doc_id"] for r in near_duplicates_dropped(frame).collect()} == {1, 3}
+
+
+def test_a_lot_travels_without_the_package():
+    one = np.arange(3)
+    lot = Lot([1], [one], [one], one, one, one, one, [(8, one)])
+    names = [v for o, v, _ in pickletools.genops(pickle.dumps(lot.parts())) if isinstance(v, str)]
+    assert not any("stowfind" in n for n in names)
+    assert Lot(*lot.parts()).item_ids == [1]

@@ -188,16 +188,6 @@ def test_close_fingerprints_are_all_linked(spark, hot):
     assert [got.get(x, x) for x in fps] == [fps[r] for r in roots]
 
 
-def test_one_document_of_each_group_stays(docs, nothing):
-    kept = simhash.near_duplicates_dropped(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and ids.count(None) == 2
-    assert {1, 10, 11} <= set(named) and not {2, 7, 4} & set(named)
-    assert simhash.near_duplicates_dropped(nothing).count() == 0
-
-
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 300)] + [(5, k) for k in range(1000, 1200)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
