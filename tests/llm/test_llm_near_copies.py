@@ -10,6 +10,7 @@ import pytest
 
 from stowfind.llm.decontamination import Lot
 from stowfind.llm.near_copies import near_duplicates_dropped
+from test_llm_operators import awkward
 
 
 @functools.cache
@@ -94,3 +95,22 @@ def test_a_lot_travels_without_the_package():
     names = [v for o, v, _ in pickletools.genops(pickle.dumps(lot.parts())) if isinstance(v, str)]
     assert not any("stowfind" in n for n in names)
     assert Lot(*lot.parts()).item_ids == [1]
+
+
+def test_many_batches_without_a_pair(spark):
+    draw = random.Random(9)
+    table = [(i, " ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(30))) for i in range(500)] + [(500, None)]
+    frame = spark.createDataFrame([*table, (501, table[0][1] + " end")], "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert {r["doc_id"] for r in near_duplicates_dropped(frame).collect()} == set(range(501))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_document_of_each_group_stays(spark):
+    frame = spark.createDataFrame(awkward(), "doc_id long, text string")
+    ids = [r["doc_id"] for r in near_duplicates_dropped(frame).collect()]
+    named = [i for i in ids if i is not None]
+    assert len(named) == len(set(named)) and ids.count(None) == 2
+    assert {1, 10, 11} <= set(named) and not {2, 7, 4} & set(named)
