@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from stowfind.functions.spatial import REGION, cell, with_region
 from stowfind.functions.text import ALIASES, expand, tokenize
 from stowfind.operators.bm25 import corpus_stats, document_length, postings
 from stowfind.operators.joins import lookup_join
+from stowfind.plans.enrich import Contributor, enrich
 from stowfind.session import spread
 
 # Saved descriptors are dealt to so many folders by their hash.
@@ -99,11 +101,13 @@ class SearchIndex:
 
     @classmethod
     def build(cls, items: DataFrame, containers: DataFrame, cells: DataFrame,
-              descriptors: DataFrame | None = None) -> SearchIndex:
+              descriptors: DataFrame | None = None,
+              contributors: Mapping[str, Contributor] | None = None) -> SearchIndex:
         """Lazy index over model tables.
 
         Items carry ``descriptor``, or ``desc_hash`` and ``material_key`` when
-        ``descriptors`` (desc_hash, descriptor) are a table of their own.
+        ``descriptors`` (desc_hash, descriptor) are a table of their own. What
+        ``contributors`` add is searched; ids stay those of the plain descriptors.
         """
         if "desc_hash" not in items.columns:
             items = items.withColumn("desc_hash", semantic_hash(F.col("descriptor")))
@@ -113,7 +117,8 @@ class SearchIndex:
                             F.col("desc_hash").alias("desc_id"))
         known = placed(containers)
         here = known.select("container_id", *PLACE)
-        return cls.over(slim.join(here, "container_id"), distinct_descriptors(items, descriptors), cells, known)
+        distinct = enrich(distinct_descriptors(items, descriptors), contributors or {})
+        return cls.over(slim.join(here, "container_id"), distinct, cells, known)
 
     @classmethod
     def over(cls, items: DataFrame, descriptors: DataFrame, cells: DataFrame,
