@@ -28,9 +28,6 @@ from stowfind.llm.bpe import load
 from stowfind.llm.common import texts
 from stowfind.session import scratch
 
-# Rows of the (shard, length) assignment that may be broadcast: about 64 bytes each.
-BROADCAST_ROWS = 400_000
-
 PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long, shard int, nth long"
 SEGMENTS = "shard int, length int, first long, last long, at long, sequence long, sequence_offset int"
 
@@ -137,9 +134,8 @@ def pack_documents(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json",
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots = slots_of(fill_patterns(histogram, size))
     columns = "length int, rank long, count long, sequence long, sequence_offset int"
-    places = scratch(segments(counts, spark.createDataFrame(slots, columns)), "segments")
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    # There are places for each shard, and shards grow with the input: both sides are dealt out at every size.
+    places = scratch(segments(counts, spark.createDataFrame(slots, columns)), "segments").hint("merge")
     held = (parts["shard"] == places["shard"]) & (parts["length"] == places["length"]) & parts["nth"].between(
         places["first"], places["last"])
     return parts.join(places, held).select(
