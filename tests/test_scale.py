@@ -64,3 +64,21 @@ def test_full_text_cut_of_cells_is_that_of_all_pairs(spark):
         got = S.full_text_window_cut(stock, windows, scores, limit).select(*columns).collect()
         want = S.full_text_cut(pairs, limit).select(*columns).collect()
         assert sorted(got) == sorted(want) and len(got) > 20
+
+
+def test_semantic_hits_of_tiles_are_those_of_all_pairs(spark, monkeypatch):
+    from stowfind.operators import near
+
+    stock, cells, asked = crowd(spark)
+    cosines = spark.createDataFrame([(t, d, ((t + d) % 3 + 1) / 4) for t in range(4) for d in range(5)],
+                                    "text_id long, desc_id long, cosine double")
+    decisions = spark.createDataFrame([(p, c, "DENY" if (p + c) % 4 == 0 else None if (p + c) % 9 == 0 else "ALLOW")
+                                       for p in range(3) for c in range(500)], "player_id long, container_id long, decision string")
+    pairs = S.window_candidates(stock, cells, asked, Policy(), 40).join(cosines, ["text_id", "desc_id"])
+    columns = ["query_id", "item_id", "sem_rank", "cosine", "distance"]
+    for limit, size in ((1, 1_000_000), (7, 50), (200, 1_000_000)):
+        monkeypatch.setattr(near, "SLICE", size)
+        policy = Policy(semantic_limit=limit)
+        got = S.semantic_window_hits(stock, cells, asked, cosines, policy, decisions).select(*columns).collect()
+        want = S.semantic_hits(pairs, policy, decisions).select(*columns).collect()
+        assert sorted(got) == sorted(want) and len(got) > 20
