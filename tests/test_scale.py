@@ -82,3 +82,16 @@ def test_semantic_hits_of_tiles_are_those_of_all_pairs(spark, monkeypatch):
         got = S.semantic_window_hits(stock, cells, asked, cosines, policy, decisions).select(*columns).collect()
         want = S.semantic_hits(pairs, policy, decisions).select(*columns).collect()
         assert sorted(got) == sorted(want) and len(got) > 20
+
+
+@pytest.mark.parametrize("name", ["p02_exact_radius", "j04_grid_join"])
+def test_places_far_above_a_question_are_not_paired(spark, small, name):
+    assert any("Join" in line and "cell_y" in line for line in tree(entry.queries()[name](spark, small)))
+
+
+def test_candidates_by_height_are_those_in_the_radius(spark):
+    stock, cells, asked = crowd(spark)
+    columns = ["query_id", "item_id", "distance"]
+    got = S.radius_candidates(stock, cells, asked, Policy(), 40).select(*columns).collect()
+    want = S.window_candidates(stock, cells, asked, Policy(), 40).filter("distance <= 32").select(*columns).collect()
+    assert sorted(got) == sorted(want) and len(got) > 100
