@@ -112,6 +112,8 @@ def t02_stream(t):
     # A session of its own, as the state store is a setting.
     own = t.spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Each task of each micro-batch starts a Python process of its own, so one per core.
+    own.conf.set("spark.sql.shuffle.partitions", str(own.sparkContext.defaultParallelism))
     t = Tables(own, t.folder)
     place = f"{shared_folder(t.spark)}/stowfind-stream-{uuid.uuid4().hex}"
     last = t.read("events").agg(F.max(epoch_ms(F.col("ts")))).first()[0] or 0

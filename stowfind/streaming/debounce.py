@@ -102,45 +102,66 @@ def coalesce(changes: DataFrame, chunk_ticks: int = 12_000) -> DataFrame:
 
 
 class Debouncer(StatefulProcessor):
-    """One open burst per key; ticks arrive complete and in order of the watermark."""
+    """Open bursts of a bucket of keys; ticks arrive complete and in order of the watermark.
+
+    A call to the state is a message between processes, so a bucket's keys are read and written together.
+    """
+
+    COLUMNS = ["key", "start", "claim", "kind", "revision", "events"]
 
     def __init__(self, tick_ms: int):
         self.tick_ms = tick_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.work = handle.getValueState("work", "start long, claim long, kind string, revision long, events long")
-        self.seen = handle.getValueState("seen", "revision long")
-
-    def _row(self, key: int, work: tuple) -> pd.DataFrame:
-        start, claim, kind, revision, events = work
-        action = "DELETE" if kind == "delete" else "SNAPSHOT"
-        return pd.DataFrame([(key, start, claim, revision, action, events)],
-                            columns=["key", "start_tick", "claim_tick", "revision", "action", "events"])
+        # A key without an open burst keeps its revision and has no start.
+        self.works = handle.getValueState(
+            "works", "key array<long>, start array<long>, claim array<long>, kind array<string>, "
+                     "revision array<long>, events array<long>")
+
+    def _read(self) -> dict[int, tuple]:
+        held = self.works.get()
+        return {} if held is None else {key: tuple(work) for key, *work in zip(*held)}
+
+    def _write(self, works: dict[int, tuple], watermark: int) -> None:
+        """Keep the bursts and wake up when the first of them is due."""
+        self.works.update(tuple(map(list, zip(*((key, *work) for key, work in works.items())))))
+        claims = [claim for start, claim, *_ in works.values() if start is not None]
+        if claims:
+            # A timer that is due already would lie behind the watermark, where timers are no longer looked for.
+            self.handle.registerTimer(max((min(claims) + 1) * self.tick_ms, watermark + 1))
+
+    @staticmethod
+    def _rows(done: list[tuple]) -> pd.DataFrame:
+        """Work items of bursts (key, start, claim, kind, revision, events)."""
+        rows = [(key, start, claim, revision, "DELETE" if kind == "delete" else "SNAPSHOT", events)
+                for key, start, claim, kind, revision, events in done]
+        return pd.DataFrame(rows, columns=["key", "start_tick", "claim_tick", "revision", "action", "events"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ticks = pd.concat(list(rows)).sort_values("tick")
-        work = tuple(self.work.get()) if self.work.exists() else None
-        revision = self.seen.get()[0] if self.seen.exists() else 0
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        for tick, kind, n in zip(ticks["tick"].tolist(), ticks["kind"].tolist(), ticks["n"].tolist()):
-            revision += n
-            if work is not None and tick > work[1]:
-                yield self._row(key[0], work)
-                work = None
-            start = tick if work is None else work[0]
-            events = n if work is None else work[4] + n
-            work = (start, due_tick(kind, tick, start), kind, revision, events)
-        self.work.update(work)
-        self.seen.update((revision,))
-        # A timer that is due already would lie behind the watermark, where timers are no longer looked for.
-        self.handle.registerTimer(max((work[1] + 1) * self.tick_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        ticks = pd.concat(list(rows)).sort_values(["key", "tick"])
+        works, done = self._read(), []
+        for k, tick, kind, n in zip(*(ticks[c].tolist() for c in ("key", "tick", "kind", "n"))):
+            start, claim, last, revision, events = works.get(k, (None, None, None, 0, 0))
+            if start is not None and tick > claim:
+                done.append((k, start, claim, last, revision, events))
+                start = None
+            if start is None:
+                start, events = tick, 0
+            works[k] = (start, due_tick(kind, tick, start), kind, revision + n, events + n)
+        self._write(works, timerValues.getCurrentWatermarkInMs())
+        if done:
+            yield self._rows(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.work.exists():
-            yield self._row(key[0], tuple(self.work.get()))
-            self.work.clear()
+        works, done, watermark = self._read(), [], timerValues.getCurrentWatermarkInMs()
+        for k, (start, claim, kind, revision, events) in works.items():
+            if start is not None and (claim + 1) * self.tick_ms <= watermark:
+                done.append((k, start, claim, kind, revision, events))
+                works[k] = (None, None, None, revision, 0)
+        if done:
+            self._write(works, watermark)
+            yield self._rows(done)
 
     def close(self) -> None:
         pass
@@ -159,21 +180,25 @@ def close_feed(spark: SparkSession, folder: str, times: list[int]) -> None:
                               ).write.mode("append").parquet(folder)
 
 
-def coalesce_stream(changes: DataFrame, tick_ms: int = 50, lateness: str = "10 seconds") -> DataFrame:
+def coalesce_stream(changes: DataFrame, tick_ms: int = 50, lateness: str = "10 seconds",
+                    buckets: int = 64) -> DataFrame:
     """Streaming counterpart of ``coalesce`` for rows (key, ts, seq, kind).
 
     A windowed aggregation first reduces each key to one row per tick, with
     partial aggregation before the shuffle, and lets the watermark put ticks in
-    order; the state behind it is a single open burst per key. Bursts that are
-    open when a feed ends come out once later rows move the watermark past them;
-    rows of the key ``CLOSING`` do only that.
+    order; the state behind it is a single open burst per key. Keys are dealt to
+    ``buckets``, each of which is one value of the state: a micro-batch costs some
+    messages per bucket and not per key. Bursts that are open when a feed ends come
+    out once later rows move the watermark past them; rows of the key ``CLOSING``
+    do only that. A stream keeps its number of buckets as long as its checkpoint.
     """
     ticks = (
         changes.withWatermark("ts", lateness)
         .groupBy("key", F.window("ts", f"{tick_ms} milliseconds"))
         .agg(F.max_by("kind", "seq").alias("kind"), F.count(F.lit(1)).alias("n"))
-        .select("key", F.floor(F.unix_millis("window.start") / tick_ms).alias("tick"), "kind", "n"))
+        .select("key", F.floor(F.unix_millis("window.start") / tick_ms).alias("tick"), "kind", "n",
+                F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")))
     # A filter before the state would be pushed below the watermark, which would not see the closing rows.
-    work = ticks.groupBy("key").transformWithStateInPandas(
+    work = ticks.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Debouncer(tick_ms), outputStructType=WORK, outputMode="Append", timeMode="EventTime")
     return work.filter(F.col("key") != CLOSING)
