@@ -117,39 +117,57 @@ def block_masks(nodes: int, similarity: float, missed: float) -> list[tuple[int,
     return masks
 
 
-def nearest(key, node, hi, lo, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the nearest earlier one of its key, if within ``reach`` bits; rows are sorted by key."""
+def meetings(key, hi, lo) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of a key, earlier and later, with the bits between them; rows are sorted by key."""
     n = len(key)
-    best, partner = np.full(n, reach + 1), np.zeros(n, dtype=np.int64)
     active, lag = np.arange(n), 1
     while True:
         active = active[active + lag < n]
         active = active[key[active] == key[active + lag]]
         if not len(active):
-            break
+            return
         later = active + lag
-        apart = (np.bitwise_count((hi[active] ^ hi[later]).view(np.uint64)).astype(np.int64)
-                 + np.bitwise_count((lo[active] ^ lo[later]).view(np.uint64)))
+        yield active, later, (np.bitwise_count((hi[active] ^ hi[later]).view(np.uint64)).astype(np.int64)
+                              + np.bitwise_count((lo[active] ^ lo[later]).view(np.uint64)))
+        lag += 1
+
+
+def nearest(key, node, hi, lo, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest earlier one of its key, if within ``reach`` bits; rows are sorted by key."""
+    best, partner = np.full(len(key), reach + 1), np.zeros(len(key), dtype=np.int64)
+    for active, later, apart in meetings(key, hi, lo):
         closer = apart < best[later]
         best[later[closer]], partner[later[closer]] = apart[closer], active[closer]
-        lag += 1
     found = np.flatnonzero(best <= reach)
     return node[partner[found]], node[found]
 
 
-def met(keyed: DataFrame, reach: int, hot: int) -> DataFrame:
-    """(a, b, hot): pairs of near nodes of a key; or a key and a number of its rows, if it has more than ``hot``."""
-    keyed = keyed.select("key", "node", "hi", "lo").repartition("key").sortWithinPartitions("key", "node")
+def strangers(key, node, hi, lo, root, n, reach: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a key within ``reach`` bits that no links join yet and that their sizes let be similar."""
+    for active, later, apart in meetings(key, hi, lo):
+        few, many = np.minimum(n[active], n[later]), np.maximum(n[active], n[later])
+        open_ = (apart <= reach) & (root[active] != root[later]) & (few >= similarity * many)
+        if open_.any():
+            yield node[active[open_]], node[later[open_]]
+
+
+def met(keyed: DataFrame, reach: int, hot: int, similarity: float) -> DataFrame:
+    """(a, b, hot): pairs of near nodes of a key; or a key and a number of its rows, if it has more than ``hot``.
+
+    Each node names the nearest before it; where nodes have a ``root``, all whose root is another one.
+    """
+    named = ["key", "node", "hi", "lo"] + (["root", "n"] if "root" in keyed.columns else [])
+    keyed = keyed.select(*named).repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a, b, burning):
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([burning] * len(a), pa.bool_())],
                                    ["a", "b", "hot"])
 
-        held, over = [np.empty(0, np.int64)] * 4, None
+        held, over = [np.empty(0, np.int64)] * len(named), None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                fresh = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "hi", "lo")]
+                fresh = [batch[c].to_numpy(zero_copy_only=False) for c in named]
                 held = [np.concatenate(x) for x in zip(held, fresh)]
             key = held[0]
             if not len(key):
@@ -165,18 +183,21 @@ def met(keyed: DataFrame, reach: int, hot: int) -> DataFrame:
             take = np.repeat(~large & (sizes > 1), sizes)
             take[closed:] = False
             if take.any():
-                yield out(*nearest(*(x[take] for x in held), reach), False)
+                taken = [x[take] for x in held]
+                for pair in strangers(*taken, reach, similarity) if "root" in named else [nearest(*taken, reach)]:
+                    yield out(*pair, False)
             held = [x[closed:] for x in held]
 
     return keyed.mapInArrow(run, "a long, b long, hot boolean")
 
 
-def near_pairs(nodes: DataFrame, masks: list[tuple[int, int]], reach: int, hot: int) -> DataFrame:
-    """(a, b): for each node the nearest before it in each of its blocks."""
+def near_pairs(nodes: DataFrame, masks: list[tuple[int, int]], reach: int, hot: int, similarity: float) -> DataFrame:
+    """(a, b): for each node the nearest before it in each of its blocks; of nodes with a root all of another root."""
+    rest = [c for c in ("root", "n") if "root" in nodes.columns]
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("hi").bitwiseAND(F.lit(h)), F.col("lo").bitwiseAND(F.lit(m)))
                      for i, (h, m) in enumerate(masks)))
-    keyed = nodes.select("node", "hi", "lo", F.explode(keys).alias("key"))
-    found = scratch(met(keyed, reach, hot), "met-nodes")
+    keyed = nodes.select("node", "hi", "lo", *rest, F.explode(keys).alias("key"))
+    found = scratch(met(keyed, reach, hot, similarity), "met-nodes")
     pairs = found.where("not hot").select("a", "b")
     large = scratch(found.where("hot").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("size")), "hot-blocks")
     if not large.isEmpty():
@@ -186,7 +207,7 @@ def near_pairs(nodes: DataFrame, masks: list[tuple[int, int]], reach: int, hot:
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
                  .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))))
         # Two chunks have about twice ``hot`` rows; the bound only tells a chunk from a block.
-        pairs = pairs.unionByName(met(dealt, reach, 1 << 62).select("a", "b"))
+        pairs = pairs.unionByName(met(dealt, reach, 1 << 62, similarity).select("a", "b"))
     return scratch(pairs.distinct(), "near-pairs")
 
 
@@ -226,8 +247,15 @@ def near_duplicates_dropped(docs: DataFrame, similarity: float = 0.8, shingle: i
         F.min(F.struct("doc_id", "th")).alias("place"), F.min("hi").alias("hi"), F.min("lo").alias("lo"),
         F.min("n").alias("n")), "nodes")
     masks = block_masks(nodes.count(), similarity, missed)
-    pairs = near_pairs(nodes, masks, reach, hot)
-    roots = components(verified(pairs, nodes, docs, similarity, shingle, id_column, text))
+    pairs = near_pairs(nodes, masks, reach, hot, similarity)
+    links = scratch(verified(pairs, nodes, docs, similarity, shingle, id_column, text), "links")
+    roots = components(links)
+    # A node's nearest may fail the check where another would pass; all that are not linked by now are named.
+    grouped = scratch(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped")
+    others = scratch(near_pairs(grouped, masks, reach, hot, similarity).join(pairs, ["a", "b"], "left_anti"), "others")
+    if not others.isEmpty():
+        more = verified(others, nodes, docs, similarity, shingle, id_column, text)
+        roots = components(links.unionByName(more))
     kept = (nodes.select("node", "place").join(roots, "node", "left")
             .groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("place").alias("place"))
             .select("place.doc_id", "place.th"))

@@ -114,3 +114,24 @@ def test_one_document_of_each_group_stays(spark):
     named = [i for i in ids if i is not None]
     assert len(named) == len(set(named)) and ids.count(None) == 2
     assert {1, 10, 11} <= set(named) and not {2, 7, 4} & set(named)
+
+
+@pytest.mark.parametrize("hot", [16_384, 7])
+def test_partners_that_are_not_the_nearest_are_linked(spark, monkeypatch, hot):
+    from pyspark.sql import functions as F
+    from stowfind.llm import near_copies
+
+    plain = near_copies.fingerprints
+    # All fingerprints are equal, so the nearest of a node tells nothing.
+    monkeypatch.setattr(near_copies, "fingerprints", lambda *a: plain(*a).withColumns(
+        {"hi": F.lit(0).cast("long"), "lo": F.lit(0).cast("long")}))
+    table = list(enumerate(varied(12, 8)))
+    kept = {r["doc_id"] for r in near_duplicates_dropped(
+        spark.createDataFrame(table, "doc_id long, text string"), hot=hot).collect()}
+    least = [i for i, _ in table]
+    for _ in table:
+        for i, a in table:
+            for j, b in table[:i]:
+                if similarity(a, b) >= 0.8:
+                    least[i] = least[j] = min(least[i], least[j])
+    assert len(kept) < 30 and kept == {i for i, _ in table if least[i] == i}
