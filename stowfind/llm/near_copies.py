@@ -10,8 +10,12 @@ pairs at the least similarity that may be missed (``missed``). It grows as the n
 The named pairs are verified by the Jaccard similarity of their whole shingle sets. Connected nodes are a group, of
 which one row stays: the one of the smallest id, then of the smallest text hash.
 
-A block that more than ``hot`` nodes share is dealt to chunks, and each two chunks meet in a group of their own, so no
-task holds more than two chunks. Nothing is left out.
+A node's nearest may fail the check where another would pass. So nodes that meet one of another group in reach come
+together once more, with their shingle sets, and all such pairs are verified where they meet. Only the links that join
+groups leave the task, fewer than it has nodes, however many pairs there are.
+
+A block that more than ``hot`` nodes share, or whose sets hold more than ``held`` shingles when they meet, is dealt to
+chunks, and each two chunks meet in a group of their own, so no task holds more than two chunks. Nothing is left out.
 
 Cases: a null or empty text, or one of white space only, has no shingles; all such rows are copies of each other and of
 nothing else. A text of fewer words than a shingle is one shingle. Rows with a null id are all kept, as no id can stand
@@ -40,6 +44,8 @@ BITS = 128
 AT_ONCE = 65_536
 # Nodes that meet in a block by chance.
 MEETING = 32
+# Words of 64 bits of a set's bitmap.
+WORDS = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -142,27 +148,39 @@ def nearest(key, node, hi, lo, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return node[partner[found]], node[found]
 
 
-def strangers(key, node, hi, lo, root, n, reach: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of a key within ``reach`` bits that no links join yet and that their sizes let be similar."""
+def strangers(key, node, hi, lo, root, n, at, masks: list[tuple[int, int]], reach: int,
+              similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of all pairs of a key within ``reach`` bits that no links join yet and that their sizes let be similar.
+
+    A pair of nodes counts only in the first block (``at``) that both share, so it is looked at once.
+    """
     for active, later, apart in meetings(key, hi, lo):
         few, many = np.minimum(n[active], n[later]), np.maximum(n[active], n[later])
         open_ = (apart <= reach) & (root[active] != root[later]) & (few >= similarity * many)
-        if open_.any():
-            yield node[active[open_]], node[later[open_]]
+        a, b = active[open_], later[open_]
+        for i, (high, low) in enumerate(masks):
+            if not len(a) or i >= at[a].max():
+                break
+            before = (at[a] > i) & (((hi[a] ^ hi[b]) & high) == 0) & (((lo[a] ^ lo[b]) & low) == 0)
+            a, b = a[~before], b[~before]
+        if len(a):
+            yield a, b
 
 
-def met(keyed: DataFrame, reach: int, hot: int, similarity: float) -> DataFrame:
-    """(a, b, hot): pairs of near nodes of a key; or a key and a number of its rows, if it has more than ``hot``.
+def met(keyed: DataFrame, masks: list[tuple[int, int]], reach: int, hot: int, similarity: float) -> DataFrame:
+    """(a, b, at, hot): pairs of near nodes of a key; or a key and a number of its rows, if it has more than ``hot``.
 
-    Each node names the nearest before it; where nodes have a ``root``, all whose root is another one.
+    Each node names the nearest before it. Where nodes have a ``root``, a and b are instead a block, whose number is
+    ``at``, and a node of it that meets one of another root there.
     """
-    named = ["key", "node", "hi", "lo"] + (["root", "n"] if "root" in keyed.columns else [])
+    named = ["key", "node", "hi", "lo"] + (["root", "n", "at", "block"] if "root" in keyed.columns else [])
     keyed = keyed.select(*named).repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, burning):
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([burning] * len(a), pa.bool_())],
-                                   ["a", "b", "hot"])
+        def out(a, b, burning, at=None):
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                    pa.array(np.zeros(len(a)) if at is None else at, pa.int64()),
+                                    pa.array([burning] * len(a), pa.bool_())], ["a", "b", "at", "hot"])
 
         held, over = [np.empty(0, np.int64)] * len(named), None
         for batch in itertools.chain(batches, [None]):
@@ -184,36 +202,45 @@ def met(keyed: DataFrame, reach: int, hot: int, similarity: float) -> DataFrame:
             take[closed:] = False
             if take.any():
                 taken = [x[take] for x in held]
-                for pair in strangers(*taken, reach, similarity) if "root" in named else [nearest(*taken, reach)]:
-                    yield out(*pair, False)
+                if "root" in named:
+                    *plain, at, block = taken
+                    marked = np.zeros(len(block), bool)
+                    for pair in strangers(*plain, at, masks, reach, similarity):
+                        marked[np.concatenate(pair)] = True
+                    yield out(block[marked], plain[1][marked], False, at[marked])
+                else:
+                    yield out(*nearest(*taken, reach), False)
             held = [x[closed:] for x in held]
 
-    return keyed.mapInArrow(run, "a long, b long, hot boolean")
+    return keyed.mapInArrow(run, "a long, b long, at long, hot boolean")
+
+
+def dealt(rows: DataFrame, key: str, chunks: Column) -> DataFrame:
+    """Rows of a key dealt to ``chunks`` chunks (``own``), each in one group (``key``) with each ``other`` chunk."""
+    return (rows.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1)))
+            .withColumn("key", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))))
 
 
 def near_pairs(nodes: DataFrame, masks: list[tuple[int, int]], reach: int, hot: int, similarity: float) -> DataFrame:
-    """(a, b): for each node the nearest before it in each of its blocks; of nodes with a root all of another root."""
+    """(a, b, at): for each node the nearest before it in each of its blocks; of nodes with a root as ``met`` says."""
     rest = [c for c in ("root", "n") if "root" in nodes.columns]
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("hi").bitwiseAND(F.lit(h)), F.col("lo").bitwiseAND(F.lit(m)))
                      for i, (h, m) in enumerate(masks)))
-    keyed = nodes.select("node", "hi", "lo", *rest, F.explode(keys).alias("key"))
-    found = scratch(met(keyed, reach, hot, similarity), "met-nodes")
-    pairs = found.where("not hot").select("a", "b")
+    keyed = nodes.select("node", "hi", "lo", *rest, F.posexplode(keys).alias("at", "key"))
+    keyed = keyed.withColumns({"at": F.col("at").cast("long"), "block": F.col("key")})
+    found = scratch(met(keyed, masks, reach, hot, similarity), "met-nodes")
+    pairs = found.where("not hot").select("a", "b", "at")
     large = scratch(found.where("hot").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("size")), "hot-blocks")
     if not large.isEmpty():
-        dealt = (keyed.join(large, "key")
-                 .withColumn("chunks", F.ceil(F.col("size") / hot).cast("int"))
-                 .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-                 .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))))
+        again = dealt(keyed.join(large, "key"), "block", F.ceil(F.col("size") / hot))
         # Two chunks have about twice ``hot`` rows; the bound only tells a chunk from a block.
-        pairs = pairs.unionByName(met(dealt, reach, 1 << 62, similarity).select("a", "b"))
+        pairs = pairs.unionByName(met(again, masks, reach, 1 << 62, similarity).select("a", "b", "at"))
     return scratch(pairs.distinct(), "near-pairs")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_column: str,
-             text: str) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
+def shingle_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, id_column: str, text: str) -> DataFrame:
+    """(node, shingles) of the nodes asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,40 +249,100 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
                 yield pa.record_batch([batch["node"].slice(i, 1), pa.array([found.view(np.int64)], pa.list_(pa.int64()))],
                                       ["node", "shingles"])
 
-    sizes = nodes.select("node", "n")
-    pairs = (pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-             .where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
-    pairs = scratch(pairs, "sized-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = nodes.join(asked, "node").select("node", "place.doc_id", "place.th")
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_hash(docs[text]).alias("th"),
                        F.coalesce(docs[text], F.lit("")).alias("text"))
     rows = rows.join(chosen.hint("merge"), ["doc_id", "th"]).select("node", "text")
-    sets = scratch(rows.groupBy("node").agg(F.first("text").alias("text"))
+    return scratch(rows.groupBy("node").agg(F.first("text").alias("text"))
                    .mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, id_column: str,
+             text: str) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough."""
+    sizes = nodes.select("node", "n")
+    pairs = (pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+             .where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
+    pairs = scratch(pairs, "sized-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = shingle_sets(asked, nodes, docs, shingle, id_column, text)
     both = (pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
             .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("shared")))
     return both.where(F.col("shared") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the bits that its shingles fall on."""
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    for row, held in zip(out, sets):
+        at = held.view(np.uint64) % np.uint64(WORDS * 64)
+        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def joining(node, root, n, sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]],
+            similarity: float) -> Iterator[tuple[int, int]]:
+    """Those of the pairs that are similar enough and join groups that none before has joined.
+
+    A bit of one set that is not among the other's stands for a shingle at least that they do not share, so most pairs
+    that are not similar are told by their bitmaps; all others are by their whole sets.
+    """
+    group, bits = np.unique(root, return_inverse=True)[1], bitmaps(sets)
+    for a, b in pairs:
+        alone = [np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a))]
+        most = np.minimum(n[a] - alone[0], n[b] - alone[1])
+        able = most >= similarity * (n[a] + n[b] - most)
+        for i, j in zip(a[able].tolist(), b[able].tolist()):
+            if group[i] != group[j]:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= similarity * (n[i] + n[j] - shared):
+                    group[group == group[j]] = group[i]
+                    yield int(node[i]), int(node[j])
+
+
+def joined(marked: DataFrame, nodes: DataFrame, sets: DataFrame, masks: list[tuple[int, int]], reach: int,
+           similarity: float, held: int) -> DataFrame:
+    """(a, b): verified pairs of the marked nodes (a block, b node, at) of each block, so many as join their groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, hi, lo, root, n, at, own, other = (
+            table[c].to_numpy() for c in ("node", "hi", "lo", "root", "n", "at", "own", "other"))
+        shingles = table["shingles"].combine_chunks()
+        whole = [shingles[i].values.to_numpy() for i in range(len(shingles))]
+        pairs = strangers(np.zeros(len(node), np.int64), node, hi, lo, root, n, at, masks, reach, similarity)
+        if own[0] != other[0]:
+            # The pairs of one chunk meet in the chunk's own group.
+            pairs = ((a[own[a] != own[b]], b[own[a] != own[b]]) for a, b in pairs)
+        links = list(joining(node, root, n, whole, pairs, similarity))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    rows = marked.select(F.col("a").alias("block"), F.col("b").alias("node"), "at").join(
+        nodes.select("node", "hi", "lo", "root", "n"), "node")
+    sizes = rows.groupBy("block").agg(F.ceil(F.sum("n") / held).alias("chunks"))
+    rows = dealt(rows.join(sizes, "block"), "block", F.greatest("chunks", F.lit(1)))
+    return rows.join(sets, "node").groupBy("key").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates_dropped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reach: int = 30,
                             missed: float = 0.05, hot: int = 16_384, id_column: str = "doc_id",
-                            text: str = "text") -> DataFrame:
+                            text: str = "text", held: int = 1 << 22) -> DataFrame:
     """The rows of ``docs``, one of each group of texts that are linked by a similarity of ``similarity`` or more."""
     rows = scratch(fingerprints(docs, shingle, id_column, text), "fingerprints")
     nodes = scratch(rows.groupBy("node").agg(
         F.min(F.struct("doc_id", "th")).alias("place"), F.min("hi").alias("hi"), F.min("lo").alias("lo"),
         F.min("n").alias("n")), "nodes")
     masks = block_masks(nodes.count(), similarity, missed)
-    pairs = near_pairs(nodes, masks, reach, hot, similarity)
+    pairs = near_pairs(nodes, masks, reach, hot, similarity).select("a", "b").distinct()
     links = scratch(verified(pairs, nodes, docs, similarity, shingle, id_column, text), "links")
     roots = components(links)
-    # A node's nearest may fail the check where another would pass; all that are not linked by now are named.
+    # A node's nearest may fail the check where another would pass; all that are not linked by now are verified.
     grouped = scratch(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped")
-    others = scratch(near_pairs(grouped, masks, reach, hot, similarity).join(pairs, ["a", "b"], "left_anti"), "others")
-    if not others.isEmpty():
-        more = verified(others, nodes, docs, similarity, shingle, id_column, text)
-        roots = components(links.unionByName(more))
+    marked = near_pairs(grouped, masks, reach, hot, similarity)
+    if not marked.isEmpty():
+        sets = shingle_sets(marked.select(F.col("b").alias("node")).distinct(), nodes, docs, shingle, id_column, text)
+        more = scratch(joined(marked, grouped, sets, masks, reach, similarity, held), "more-links")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     kept = (nodes.select("node", "place").join(roots, "node", "left")
             .groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("place").alias("place"))
             .select("place.doc_id", "place.th"))

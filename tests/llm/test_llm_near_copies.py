@@ -135,3 +135,36 @@ def test_partners_that_are_not_the_nearest_are_linked(spark, monkeypatch, hot):
                 if similarity(a, b) >= 0.8:
                     least[i] = least[j] = min(least[i], least[j])
     assert len(kept) < 30 and kept == {i for i, _ in table if least[i] == i}
+
+
+@pytest.mark.parametrize("hot, held", [(16_384, 1 << 22), (50, 1 << 22), (16_384, 4_000)])
+def test_a_group_of_unlike_texts_in_one_block_makes_no_pairs(spark, monkeypatch, hot, held):
+    from pyspark.sql import functions as F
+    from stowfind.llm import near_copies
+
+    plain, links, marks = near_copies.fingerprints, [], []
+    monkeypatch.setattr(near_copies, "fingerprints", lambda *a: plain(*a).withColumns(
+        {"hi": F.lit(0).cast("long"), "lo": F.lit(0).cast("long")}))
+    near, join = near_copies.near_pairs, near_copies.joined
+
+    def near_pairs(nodes, *rest):
+        out = near(nodes, *rest)
+        marks.extend([out.count()] if "root" in nodes.columns else [])
+        return out
+
+    def joined(*a):
+        out = join(*a)
+        links.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "near_pairs", near_pairs)
+    monkeypatch.setattr(near_copies, "joined", joined)
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    # 200 texts of which each is too far from all others, and two that are near the first and the last.
+    table = [(i, " ".join(base + [f"{i}-{draw.random()}" for _ in range(20)])) for i in range(200)]
+    table += [(i + 200, f"{table[i][1]} end") for i in (0, 199)]
+    got = near_copies.near_duplicates_dropped(spark.createDataFrame(table, "doc_id long, text string"), hot=hot, held=held)
+    assert {r["doc_id"] for r in got.collect()} == set(range(200))
+    # Their pairs are about 20,000.
+    assert marks[0] <= len(table) and links[0] <= len(table)
