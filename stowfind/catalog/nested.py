@@ -82,9 +82,9 @@ def shown(path="path"):
     return F.array_join(F.transform(path, lambda s: F.concat(s["label"], F.lit(":"), s["slot"].cast("string"))), "/")
 
 
-def nodes(t: Tables, depth: int = 4):
+def nodes(t: Tables, depth: int = 4, extras: tuple[str, ...] = ("path",), first: int | None = None):
     roots, edges = hierarchy(t)
-    return N.walk(roots, edges, depth)
+    return N.walk(roots, edges, depth, extras, first)
 
 
 _LEAVES = """
@@ -104,7 +104,7 @@ def n01_deep(t):
 @query("n02_cycle_guard", sql("nodes", """
     SELECT root_id, depth, kind, count(*) AS n FROM nodes WHERE kind <> 'bad' GROUP BY ALL""", tree(6)))
 def n02(t):
-    return nodes(t, 6).filter("kind <> 'bad'").groupBy("root_id", "depth", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return nodes(t, 6, ()).filter("kind <> 'bad'").groupBy("root_id", "depth", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BUDGET = {
@@ -125,7 +125,7 @@ _BUDGET = {
     WHERE (trail = top) IS TRUE OR (kind <> 'open' AND (list_slice(trail, 1, len(top)) = top) IS NOT TRUE)""",
     tree(5) | _BUDGET))
 def n03(t):
-    cut = N.coarsen(nodes(t, 5), 2000)
+    cut = N.coarsen(nodes(t, 5, N.EXTRAS, first=2000), 2000)
     return cut.select("root_id", "node_id", "depth", shown().alias("path"), "visited", "truncated")
 
 

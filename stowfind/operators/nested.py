@@ -11,7 +11,11 @@ from stowfind.session import scratch
 INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
 
 
-def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
+EXTRAS = ("path", "trail", "siblings")
+
+
+def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4, extras: tuple[str, ...] = EXTRAS,
+         first: int | None = None) -> DataFrame:
     """All nodes a depth-bounded walk visits, one row per node and branch.
 
     roots  root_id, node_id, label, slot, fingerprint
@@ -20,10 +24,15 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     ``kind`` tells what the walk does with a node: ``open`` (replaced by its
     children), ``leaf``, or one of the truncating leaves ``depth``, ``cycle`` and
     ``bad``. ``trail`` orders nodes the way the walk meets them; ``siblings`` is
-    the number of children of the node's parent.
+    the number of children of the node's parent. Only the ``extras`` that are named are carried.
 
-    Each level is written to the shared folder before the next one starts from it, so a level costs one join.
+    Each level is written to the shared folder before the next one starts from it, so a level costs one join; where no
+    node is open there is no next one. With ``first`` only so many nodes of each root stay, in the order of the trail. A
+    node comes after its ancestors, and nodes of deeper levels only add to those before it, so all others can go as
+    soon as their own level is known.
     """
+    if first is not None:
+        extras = (*extras, *({"trail"} - set(extras)))
     if not 1 <= max_depth <= 8:
         raise ValueError("max_depth must lie in 1..8")
     families = edges.groupBy(F.col("parent_id").alias("node_id")).agg(
@@ -44,26 +53,43 @@ def walk(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
             return inner
         return F.when(F.col("again"), "cycle").otherwise(F.lit("depth") if depth == max_depth else inner)
 
+    def carried(level: DataFrame) -> DataFrame:
+        """Only open nodes need what their children are told."""
+        known = F.when(F.col("kind") == "open", F.col("ancestors"))
+        children = F.when(F.col("kind") == "open", F.col("children"))
+        return level.select("root_id", "node_id", "depth", *extras, "kind", known.alias("ancestors"),
+                            children.alias("children"))
+
+    def pruned(nodes: DataFrame) -> DataFrame:
+        return scratch(top_n(nodes, ["root_id"], [F.asc("trail")], first, "visit").drop("visit"), "nested-first")
+
     level = roots.join(families, "node_id", "left").select(
         "root_id", "node_id", F.lit(1).alias("depth"), F.array(step("label", "slot")).alias("path"),
         F.array(F.struct("slot", F.col("node_id").alias("id"))).alias("trail"),
         F.array("fingerprint").alias("ancestors"), kind(1).alias("kind"),
         F.lit(1).cast("long").alias("siblings"), "children")
-    nodes = level = scratch(level, "nested-level")
+    nodes = level = scratch(carried(level), "nested-level")
     for depth in range(2, max_depth + 1):
+        rest = [c for c in extras if c != "siblings"]
         opened = level.filter("kind = 'open'").select(
-            "root_id", F.col("node_id").alias("parent_id"), "path", "trail", "ancestors",
-            F.col("children").alias("siblings"))
+            "root_id", F.col("node_id").alias("parent_id"), *rest, "ancestors", F.col("children").alias("siblings"))
+        if opened.isEmpty():
+            break
+        longer = {"path": F.array(step("label", "slot")),
+                  "trail": F.array(F.struct("slot", F.col("child_id").alias("id")))}
         level = opened.join(kids, "parent_id").withColumn(
             "again", F.array_contains("ancestors", F.col("fingerprint"))).select(
             "root_id", F.col("child_id").alias("node_id"), F.lit(depth).alias("depth"),
-            F.concat("path", F.array(step("label", "slot"))).alias("path"),
-            F.concat("trail", F.array(F.struct("slot", F.col("child_id").alias("id")))).alias("trail"),
+            *[F.concat(c, longer[c]).alias(c) for c in rest],
             F.concat("ancestors", F.array("fingerprint")).alias("ancestors"), kind(depth).alias("kind"),
             "siblings", "children")
-        level = scratch(level, "nested-level")
-        nodes = nodes.unionByName(level)
-    return nodes.drop("children")
+        if first is None:
+            level = scratch(carried(level), "nested-level")
+            nodes = nodes.unionByName(level)
+        else:
+            nodes = pruned(nodes.unionByName(carried(level)))
+            level = nodes.filter(F.col("depth") == depth)
+    return nodes.drop("children", "ancestors")
 
 
 def leaves(nodes: DataFrame) -> DataFrame:

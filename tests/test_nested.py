@@ -117,3 +117,21 @@ def test_neighbours_and_pairs(spark):
             ("w", 7, 64, 0, True, False, "chest", True, False, None, True, True)]
     got = {(r["x"]): (r["status"], r["canonical_x"]) for r in N.resolve_pairs(spark.createDataFrame(rows, kind)).collect()}
     assert got == {1: ("RESOLVED", 0), 0: ("RESOLVED", 0), 9: ("UNAVAILABLE", None), 7: ("MISSING", None)}
+
+
+def test_a_walk_for_a_budget_keeps_no_more_nodes_than_it(spark):
+    edges = [("a", f"b{i:02}", "x", i, None, False) for i in range(30)]
+    edges += [(f"b{i:02}", f"c{i:02}{j}", "x", j, None, False) for i in range(30) for j in range(9)]
+    roots, edges = frames(spark, edges)
+    whole, few = N.walk(roots, edges, 5), N.walk(roots, edges, 5, first=25)
+    assert whole.count() == 301 and few.count() == 25
+    for budget in (1, 7, 25):
+        assert rows(N.coarsen(few, budget)) == rows(N.coarsen(whole, budget))
+
+
+def test_a_walk_ends_where_no_node_is_open_and_carries_what_is_asked(spark, monkeypatch):
+    written, scratch = [], N.scratch
+    monkeypatch.setattr(N, "scratch", lambda frame, name: written.append(name) or scratch(frame, name))
+    nodes = N.walk(*frames(spark, chain(2)), 8, extras=())
+    assert nodes.columns == ["root_id", "node_id", "depth", "kind"] and nodes.count() == 3
+    assert written.count("nested-level") == 3
