@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stowfind.operators.ordered import top_n
 
 QUERY_BLOCK, VECTOR_SLICE = 2_048, 32_768
-QUERIES_AT_ONCE = 256  # rows of scores in memory at once
+QUERIES_AT_ONCE = 64  # rows of scores in memory at once, in two arrays
 DIGITS = 12
 
 
@@ -73,11 +73,15 @@ def best_of(found: pa.Table, asked: pa.Table, k: int, min_score: float) -> tuple
     for at in range(0, len(q), QUERIES_AT_ONCE):
         part = q[at:at + QUERIES_AT_ONCE]
         norms = np.outer(np.sqrt((part * part).sum(1)), m_norm)
-        dots = part @ m.T
-        scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-        scores = np.round(np.clip(scores, -1.0, 1.0), DIGITS)
-        n = min(k, scores.shape[1])
-        least = np.maximum(-np.partition(-scores, n - 1, axis=1)[:, n - 1], min_score)
+        scores = part @ m.T
+        some = norms > 0
+        np.divide(scores, norms, out=scores, where=some)
+        scores[~some] = 0.0
+        np.round(np.clip(scores, -1.0, 1.0, out=scores), DIGITS, out=scores)
+        np.copyto(norms, scores)
+        last = scores.shape[1] - min(k, scores.shape[1])
+        norms.partition(last, axis=1)
+        least = np.maximum(norms[:, last], min_score)
         for i, row in enumerate(scores):
             near = np.flatnonzero(row >= least[i])
             near = near[np.lexsort((ids[near], -row[near]))[:k]]

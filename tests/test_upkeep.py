@@ -192,3 +192,23 @@ def test_dense_top_k_over_blocks_and_slices(spark, monkeypatch):
     assert dense_top_k(table.limit(0), asked, 7).count() == dense_top_k(table, asked.limit(0), 7).count() == 0
     with pytest.raises(Exception, match="dimension"):
         dense_top_k(table.unionByName(spark.createDataFrame([(999, [1.0])], table.schema)), asked, 2).collect()
+
+
+def test_a_dense_block_holds_few_scores_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from stowfind.operators.dense import best_of
+
+    def table(n, key, vector):
+        values = np.random.default_rng(n).standard_normal(n * 8)
+        return pa.table({key: np.arange(n), vector: pa.FixedSizeListArray.from_arrays(pa.array(values), 8).cast(pa.list_(pa.float64()))})
+
+    found, asked = table(8_192, "id", "v"), table(512, "query_id", "q")
+    tracemalloc.start()
+    ids, near, _ = best_of(found, asked, 3, -1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == len(near) == 3 * 512 and peak < 16e6, peak
