@@ -168,3 +168,35 @@ def test_copies_are_counted_over_the_written_items(spark, small, tmp_path):
     assert {r["desc_hash"]: r["copies"] for r in rows} == want and len(rows) == len({r["desc_id"] for r in rows}) == len(want)
     got = {r["desc_id"]: r["count"] for r in index.items.groupBy("desc_id").count().collect()}
     assert got == {r["desc_id"]: r["copies"] for r in rows}
+
+
+def test_tie_keys_never_run_against_the_order_of_paths(spark):
+    rng = random.Random(4)
+    labels = [None, "", "a", "a\0", "a\0\0", "b", "abcdefgh", "abcdefgh\0", "abcdefghi", "abcdefgg", "é", "zz", "\U0001f600"]
+    paths = [None, [], *[[(rng.choice(labels), rng.choice([None, -3, 0, 7, 40])) for _ in range(rng.randrange(1, 3))] for _ in range(300)]]
+    frame = spark.createDataFrame([(p,) for p in paths], "path array<struct<label string, slot int>>")
+    keys = [tuple(r) for r in frame.orderBy("path").select(*S.tie_keys(F.col("path"))).collect()]
+    assert keys == sorted(keys) and len(set(keys)) > 40
+
+
+def test_near_items_that_tie_are_cut_by_their_paths(spark, monkeypatch):
+    stock = spark.createDataFrame(
+        [(i, i, [("chest", i)], 1, "m", 0, "w", i % 20, 64, i // 20, (i % 20) >> 4, (i // 20) >> 4) for i in range(300)],
+        "item_id long, container_id long, path array<struct<label string, slot int>>, amount int, material_key string, "
+        "desc_id long, world_id string, x int, y int, z int, cell_x int, cell_z int")
+    cells = stock.select(*S.PLACES, F.lit(True).alias("available")).distinct()
+    asked = spark.createDataFrame([(1, 1, 1, "w", 5, 64, 5), (2, 1, 1, "w", 5, 200, 5)],
+                                  "query_id long, player_id long, text_id long, world_id string, ox int, oy int, oz int")
+    cosines = spark.createDataFrame([(1, 0, 0.5)], "text_id long, desc_id long, cosine double")
+    written, plain = {}, S.scratch
+    monkeypatch.setattr(S, "scratch", lambda df, name: written.setdefault(name, plain(df, name)))
+    hits = S.semantic_window_hits(stock, cells, asked, cosines, Policy(semantic_limit=5), None)
+    assert sorted((r["query_id"], r["item_id"], r["sem_rank"]) for r in hits.collect()) == [(1, i, i + 1) for i in range(5)]
+    assert written["near-items"].count() == 5
+
+
+def test_questions_of_a_search_are_written_once(spark, small):
+    from stowfind.sources.tables import Tables
+
+    usable, texts, _ = S.ask_once(Tables(spark, small).supplier_queries())
+    assert all("stowfind-questions" in f for frame in (usable, texts) for f in frame.inputFiles())
